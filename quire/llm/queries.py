@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import near_duplicates
+from quire.llm import mixing, near_duplicates, packing, tokens
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The threshold of problem 6 in TESTDATA.md.
-CHUNK_PAIRS = near_duplicates.Settings(run=3, similarity=0.6, least_words=20, bands=32, rows=4)
+CHUNK_PAIRS = near_duplicates.Settings(run=3, similarity=0.6, least_words=20, bands=40, rows=4)
 
 
 def _chunk_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -28,5 +28,34 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(*_chunk_pairs(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_groups": p6_groups}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.document_tokens(table(spark, d, "documents")).select("doc_id", "tokens")
+    return packing.packed(sizes, table(spark, d, "pack_budgets"))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_packed(spark, d))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.selection(tokens.document_tokens(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p9_selected(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_packed": p8_packed, "p8_containers": p8_containers, "p8_report": p8_report, "p9_selected": p9_selected, "p9_report": p9_report}
 SQL: dict[str, str] = {}
