@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, near_duplicates, packing, scanned_pages, tokens
+from quire.llm import markup, mixing, near_duplicates, packing, scanned_pages, tokens
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scanned_pages.repaired(table(spark, d, "chunks")).select("id", "page_start", "page_end", "text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.cleaned(table(spark, d, "chunks")).select("id", F.explode("kinds").alias("kind"))
+    return found.distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(table(spark, d, "chunks")).dropDuplicates(["id"]).select("id", "text")
+
+
 def _chunk_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.similar_pairs(table(spark, d, "chunks").select("id", F.col("content").alias("text")), CHUNK_PAIRS)
 
@@ -65,5 +74,5 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p6_found": p6_found, "p6_groups": p6_groups, "p8_packed": p8_packed, "p8_containers": p8_containers, "p8_report": p8_report, "p9_selected": p9_selected, "p9_report": p9_report}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_packed": p8_packed, "p8_containers": p8_containers, "p8_report": p8_report, "p9_selected": p9_selected, "p9_report": p9_report}
 SQL: dict[str, str] = {}

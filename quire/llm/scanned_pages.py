@@ -35,7 +35,7 @@ CONFUSED = [
 ]
 #: Signs and digits that stand for letters; the signs do so wherever letters are around them.
 SIGN = re.compile(r"[€¢ſ!|@$´`^¸](?=\w)|(?<=\w)[€¢ſ|´`^¸]|[ﬀ-ﬄ]")
-_CELL = re.compile(r"^\s*\d[\d\s.,]*$")
+_CELL = re.compile(r"^\s*\d[\d\s]*$")
 _LABEL = re.compile(r"^\s*[A-ZÀ-Ý][a-zà-ÿ]{2,14}\s*$")
 DIGIT_INSIDE = re.compile(r"[a-zà-ÿœ][015689][a-zà-ÿœ]")
 _EDGE = re.compile(r"^[^\w€¢ſ|!@$]+|[^\w€¢ſ|´`^¸]+$")
