@@ -51,7 +51,7 @@ _WIKI = {
     "template": re.compile(r"\{\{(?=[\w#:])[^{}]*\}\}"),
     "heading": re.compile(r"^(={2,6})[ \t]*[^=\s][^\n]*?\1[ \t]*$", re.M),
     "quotes": re.compile(r"(?<!')('{2,3}|'{5})(?=[^\s'])[^\n]*?(?<=[^\s'])\1(?!')"),
-    "table": re.compile(r"^\{\||^\|\}[ \t]*$|^\|-|^[|!][^\n]*(?:\|\||!!)", re.M),
+    "table": re.compile(r"^\{\||^\|\}[ \t]*$|^\|-(?!-)[^|\n]*$|^[|!][^\n]*(?:\|\||!!)", re.M),
     "magic": re.compile(r"(?<!\w)__[A-ZÀ-Ý]{3,}__(?!\w)"),
     "list": re.compile(r"^(?:\*{2,}|#{2,}[*:]|[*#]+:|:{1,4}[*#]*)[ \t]+\S", re.M),
     "external": re.compile(r"(?<!\])\[https?://[^\s\]]+(?:[ \t][^\]\n]*)?\](?!\()"),
