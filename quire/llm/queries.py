@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import markup, mixing, near_duplicates, packing, scanned_pages, tokens
+from quire.llm import markup, mixing, near_duplicates, packing, pii, scanned_pages, tokens
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,5 +74,13 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_packed": p8_packed, "p8_containers": p8_containers, "p8_report": p8_report, "p9_selected": p9_selected, "p9_report": p9_report}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.without_mentions(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_packed": p8_packed, "p8_containers": p8_containers, "p8_report": p8_report, "p9_selected": p9_selected, "p9_report": p9_report, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
