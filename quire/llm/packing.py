@@ -69,8 +69,9 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Place], int]:
 def items(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_name, capacity, doc_id, piece, start_token, length): a text that alone exceeds the capacity is cut into full pieces and a rest; others stay whole. Empty texts are left out;
     budgets without a positive capacity too."""
-    good = budgets.filter("capacity_tokens > 0 AND budget_name IS NOT NULL").select("budget_name", F.col("capacity_tokens").alias("capacity")).dropDuplicates(["budget_name"])
-    both = sizes.filter("tokens > 0").crossJoin(F.broadcast(good))  # budgets: a table of fixed size
+    good = budgets.filter("capacity_tokens > 0 AND budget_name IS NOT NULL").groupBy("budget_name").agg(F.min("capacity_tokens").alias("capacity")).collect()  # a table of fixed size
+    each = F.explode(F.array(*[F.struct(F.lit(r["budget_name"]).alias("budget_name"), F.lit(r["capacity"]).alias("capacity")) for r in good])) if good else F.explode(F.expr("cast(array() as array<struct<budget_name: string, capacity: int>>)"))
+    both = sizes.filter("tokens > 0").select("doc_id", "tokens", each.alias("b")).select("doc_id", "tokens", "b.*")
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tokens") - 1, F.col("capacity").cast("bigint")))
     cut = both.select("budget_name", "capacity", "doc_id", "tokens", start.alias("start_token"))
     return cut.select(
