@@ -25,7 +25,7 @@ def markdown(path: str, content: bytes) -> Parsed:
         meta = dict(x.split(":", 1) for x in m[1].split("\n") if ":" in x and not x.startswith((" ", "-", "#")))
         meta = {k.strip(): v.strip().strip("'\"") for k, v in meta.items()}
         p.title = meta.get("title") or p.title
-        s = " " * m.end() + s[m.end() :]
+        s = re.sub(r"[^\n]", " ", s[: m.end()]) + s[m.end() :]
     masked = re.sub(r"^(```|~~~).*?^\1", lambda m: re.sub(r"[^\n]", "x", m[0]), s, flags=re.S | re.M)
     heads = list(re.finditer(r"^#{1,6}[ \t]+(.+?)[ \t#]*$", masked, re.M))
     bounds = [(None, 0), *((s[h.start(1) : h.end(1)].strip(), h.end()) for h in heads)]
