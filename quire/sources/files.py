@@ -21,7 +21,7 @@ CATEGORIES = {".md": "docs", ".tex": "docs", ".pdf": "docs", ".docx": "docs", ".
 
 
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path relative to root, modified_at, file_size[, content]) of all files below a folder; without content no file is read."""
+    """(path relative to root, modified_at, file_size[, content]) of all files below a folder; without content no file is read. Files of no bytes are not listed: one that becomes empty counts as removed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.split("://", 1)[-1].rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + re.escape(base), "")
