@@ -168,7 +168,7 @@ class _Html(HTMLParser):
             if self.lists:
                 self.lists.pop()
             self._put("\n")
-        elif tag in _BLOCKS or re.fullmatch("h[1-6]", tag):
+        elif (tag in _BLOCKS and tag != "li") or re.fullmatch("h[1-6]", tag):
             self._put("\n")
         return None
 
