@@ -109,3 +109,16 @@ def cards_valid(cards: DataFrame, natures: list[str]) -> DataFrame:
     ok = (F.col("nature").isNull() | F.col("nature").isin(natures)) & (F.col("first_page").isNull() | F.col("last_page").isNull() | (F.col("first_page") <= F.col("last_page")))
     given = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
     return cards.withColumns({"valid": ok, "attributed": given("author") & given("title")})
+
+
+def replace_pages(chunks: DataFrame, new: DataFrame, first: int, last: int) -> DataFrame:
+    """chunks without those of the books in new (book_slug, ...) that lie wholly between two pages, and with new instead; chunks without pages stay."""
+    books = new.select("book_slug").distinct().withColumn("_new", F.lit(True))
+    inside = F.coalesce((F.col("page_start") >= first) & (F.coalesce("page_end", "page_start") <= last), F.lit(False))
+    kept = chunks.join(books, "book_slug", "left").filter(F.col("_new").isNull() | ~inside).select(*new.columns)
+    return kept.unionByName(new)
+
+
+def translated(path: Column, old_root: str, new_root: str) -> Column:
+    """A path below one root as the same path below another; others stay."""
+    return F.when(F.startswith(path, F.lit(old_root + "/")), F.concat(F.lit(new_root), F.expr(f"substring({path._jc.toString()}, {len(old_root) + 1})"))).otherwise(path)

@@ -51,3 +51,14 @@ def tranches(pages: DataFrame, size: int = 50) -> DataFrame:
     """(slug, first_page, last_page): a book's pages in parts of `size`."""
     first = F.explode(F.sequence(F.lit(1), F.col("page_count"), F.lit(size)))
     return pages.filter("page_count >= 1").select("slug", "page_count", first.alias("first_page")).select("slug", "first_page", F.least(F.col("first_page") + size - 1, F.col("page_count")).alias("last_page"))
+
+
+def dispatch(jobs: DataFrame, caps: dict[str, int], exclusive: list[str], slots: int) -> DataFrame:
+    """The jobs (project, ...) to start next over all projects: oldest first within priority, at most caps[type] of a type, and of exclusive types one at a time for each project."""
+    order = ["priority", "created_at", "id"]
+    p = jobs.filter("status = 'pending'")
+    alone = F.row_number().over(Window.partitionBy("project", "type").orderBy(*order))
+    p = p.withColumn("_alone", alone).filter(~F.col("type").isin(exclusive) | (F.col("_alone") == 1)).drop("_alone")
+    cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("type")), F.lit(slots)) if caps else F.lit(slots)
+    p = p.withColumn("_no", F.row_number().over(Window.partitionBy("type").orderBy(*order))).filter(F.col("_no") <= cap).drop("_no")
+    return p.orderBy(*order).limit(slots)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import audit, catalog, graph, history, jobs, search, sync
+from quire.plans import data_queries
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,6 +396,25 @@ def page_tranches(spark: SparkSession, d: str) -> DataFrame:
     return t.join(_books(spark, d).select("slug", "page_count"), "slug").select("slug", "first_page", "page_count")
 
 
+@query(
+    f"""WITH {_C}, n AS (SELECT book_slug, min(id) AS id, CAST(sum(length(content)) AS BIGINT) AS chars FROM c WHERE corpus = 'archives-scan' AND page_start >= 10 AND coalesce(page_end, page_start) <= 20 GROUP BY 1),
+k AS (SELECT book_slug, CAST(length(content) AS BIGINT) AS chars FROM c WHERE NOT coalesce(page_start >= 10 AND coalesce(page_end, page_start) <= 20, false) OR book_slug NOT IN (SELECT book_slug FROM n) UNION ALL SELECT book_slug, chars FROM n)
+SELECT book_slug, count(*) AS chunks, CAST(sum(chars) AS BIGINT) AS chars FROM k GROUP BY 1"""
+)
+def replace_page_range(spark: SparkSession, d: str) -> DataFrame:
+    """Pages 10 to 20 of scanned books come anew, as one passage; totals of all books after it."""
+    c = _chunks(spark, d, "book_slug", "corpus", "page_start", "page_end", "content").withColumn("chars", _long(F.length("content")))
+    pages = c.filter("corpus = 'archives-scan' AND page_start >= 10 AND coalesce(page_end, page_start) <= 20")
+    new = pages.groupBy("book_slug").agg(F.sum("chars").alias("chars"))
+    after = catalog.replace_pages(c.select("book_slug", "chars", "page_start", "page_end"), new, 10, 20)
+    return after.groupBy("book_slug").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
+
+
+@query("SELECT DISTINCT CASE WHEN starts_with(coalesce(root_path, '/srv/fonds') || '/' || filepath, '/mnt/archive/') THEN '/work/copy' || substr(coalesce(root_path, '/srv/fonds') || '/' || filepath, 13) ELSE coalesce(root_path, '/srv/fonds') || '/' || filepath END AS path FROM indexed_files")
+def translated_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d)[0].select(catalog.translated(F.col("path"), "/mnt/archive", "/work/copy").alias("path")).distinct()
+
+
 # ---- graph -------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -463,6 +483,7 @@ def keep_last_versions(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("article_ref", "id")
 
 
+@query(data_queries.SQL["p7_found"].replace("SELECT article_ref, strftime(min(date_debut)", ", h AS (SELECT article_ref, strftime(min(date_debut)") + ") SELECT article_ref, etat FROM h WHERE valid_from <= '2016-01-01' AND (valid_to = 'open' OR valid_to >= '2016-01-01')")
 def history_as_of(spark: SparkSession, d: str) -> DataFrame:
     h = history.article_history(table(spark, d, "article_versions"))
     return history.as_of(h, "2016-01-01").select("article_ref", "etat")
@@ -614,6 +635,18 @@ def session_debounce(spark: SparkSession, d: str) -> DataFrame:
     return jobs.debounced(table(spark, d, "events").withColumnRenamed("event_type", "type"), "type", "ts", "10 minutes")
 
 
+@query(
+    f"""WITH {_JOBS}, q AS (SELECT j.*, user_id AS project FROM j JOIN events ON event_id = j.id WHERE status = 'pending'),
+a AS (SELECT * FROM q QUALIFY type NOT IN ('signup') OR row_number() OVER (PARTITION BY project, type ORDER BY priority, created_at, id) = 1),
+c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY type ORDER BY priority, created_at, id) <= CASE type WHEN 'click' THEN 5 WHEN 'signup' THEN 40 ELSE 200 END)
+SELECT id, type, project FROM c ORDER BY priority, created_at, id LIMIT 200"""
+)
+def fair_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Users as projects; one job of an exclusive type for each, caps by type."""
+    owner = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("project"))
+    return jobs.dispatch(_jobs(spark, d).join(owner, "id"), {"click": 5, "signup": 40}, ["signup"], 200).select("id", "type", "project")
+
+
 # ---- audit -------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -702,6 +735,3 @@ def cards_attributed(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CARDS} SELECT corpus, filepath FROM k WHERE NOT EXISTS (SELECT 1 FROM indexed_files f WHERE f.corpus = k.corpus AND f.filepath = k.filepath)")
 def cards_unknown_files(spark: SparkSession, d: str) -> DataFrame:
     return _cards(spark, d).select("corpus", "filepath").join(table(spark, d, "indexed_files").select("corpus", "filepath"), ["corpus", "filepath"], "left_anti")
-
-
-QUERIES["history_as_of"] = history_as_of
