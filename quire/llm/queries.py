@@ -83,4 +83,12 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_packed": p8_packed, "p8_containers": p8_containers, "p8_report": p8_report, "p9_selected": p9_selected, "p9_report": p9_report, "p10_found": p10_found, "p10_redacted": p10_redacted}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": """
+WITH c AS (SELECT id, any_value(content) AS content FROM chunks WHERE content IS NOT NULL GROUP BY id),
+w AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM c),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+k AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM k JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+}
