@@ -18,7 +18,7 @@ def folded(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """The terms of a text: folded runs of letters and digits; an empty array for null."""
-    return F.filter(F.split(folded(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(folded(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def folded_word(s: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import phrases, terms
+from quire.session import spread, written
 
 K1, B = 1.2, 0.75
 
@@ -18,7 +19,7 @@ K1, B = 1.2, 0.75
 def _occurrences(columns: list[str], phrase: tuple[str, ...]) -> Column:
     """How often a phrase stands in the columns; it never reaches from one into the next."""
     if len(phrase) == 1:
-        one = lambda c: F.size(F.filter(F.col(f"_t_{c}"), lambda x: x == phrase[0]))
+        one = lambda c: F.size(f"_t_{c}") - F.size(F.array_remove(f"_t_{c}", phrase[0]))
     else:
         # blanks on both sides of every term, so that neighbouring phrases share none
         needle = "  ".join(phrase)
@@ -28,7 +29,7 @@ def _occurrences(columns: list[str], phrase: tuple[str, ...]) -> Column:
 
 def term_counts(docs: DataFrame, key: str, columns: list[str], wanted: list[tuple[str, ...]], keep: list[str]) -> DataFrame:
     """(key, keep..., len, tf_0...): one row for each key; texts are reduced to numbers before anything is shuffled. Null columns count as empty."""
-    split = docs.select(key, *keep, *[terms(F.col(c)).alias(f"_t_{c}") for c in columns])
+    split = spread(docs.select(key, *dict.fromkeys([*keep, *columns]))).select(key, *keep, *[terms(F.col(c)).alias(f"_t_{c}") for c in columns])
     size = reduce(Column.__add__, [F.size(f"_t_{c}") for c in columns])
     counted = split.select(key, *keep, size.alias("len"), *[_occurrences(columns, p).alias(f"tf_{i}") for i, p in enumerate(wanted)])
     return counted.dropDuplicates([key])
@@ -43,6 +44,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, keep: list[s
     counts = term_counts(docs, key, columns, wanted, keep)
     if not wanted:
         return counts.select(key, *keep, F.lit(0.0).alias("score")).filter(F.lit(False))
+    counts = written(counts)  # a few numbers for each row, so that the texts are read and split once
     held = [F.sum((F.col(f"tf_{i}") > 0).cast("int")).alias(f"df_{i}") for i in range(len(wanted))]
     s = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *held).first()
     score = F.lit(0.0)

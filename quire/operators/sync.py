@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import written
+
 KEY = ["corpus", "filepath"]
 
 
@@ -21,6 +23,7 @@ def snapshot_diff(indexed: DataFrame, disk: DataFrame, failures: DataFrame | Non
     if failures is not None:
         f = failures.select(*KEY, F.col("file_hash").alias("new_hash"), F.lit(True).alias("failed")).dropDuplicates([*KEY, "new_hash"])
         j = j.join(f, [*KEY, "new_hash"], "left").withColumn("change", F.when(F.col("failed") & F.col("change").isin("added", "modified"), "known_failure").otherwise(F.col("change"))).drop("failed")
+    j = written(j)  # read by each of the branches below
     same = j.filter("change NOT IN ('added', 'removed')").select("change", *KEY, F.coalesce("new_hash", "old_hash").alias("file_hash"), F.lit(None).cast("string").alias("from_corpus"), F.lit(None).cast("string").alias("from_path"))
     number = lambda df, by: df.withColumn("no", F.row_number().over(Window.partitionBy(*by).orderBy(*KEY)))
     gone, new = (j.filter(F.col("change") == c).select(*KEY, F.coalesce("new_hash", "old_hash").alias("file_hash")) for c in ("removed", "added"))

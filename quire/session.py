@@ -44,3 +44,9 @@ def written(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are cores. Only an input below cores * spark.sql.files.maxPartitionBytes is moved by this; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
