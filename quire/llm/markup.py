@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quire.session import spread
+
 KINDS = ("html", "markdown", "wiki", "latex")
 #: Names of HTML elements (fixed values).
 TAGS = frozenset(
@@ -308,5 +310,5 @@ def cleaned(chunks: DataFrame) -> DataFrame:
             got = [read(c, s == "function") for c, s in zip(b["content"], b["section_type"], strict=True)]
             yield pd.DataFrame({"id": b["id"], "kinds": [sorted(e.kinds) for e in got], "text": [e.text for e in got]})
 
-    known = chunks.filter("id IS NOT NULL AND content IS NOT NULL").select("id", "content", "section_type")
+    known = spread(chunks.filter("id IS NOT NULL AND content IS NOT NULL").select("id", "content", "section_type"))
     return known.mapInPandas(run, "id bigint, kinds array<string>, text string")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm.vptree import Tree, close_pairs, distance
 from quire.llm.words import mixed, shingles
 from quire.operators.skew import join_unique
-from quire.session import written
+from quire.session import spread, written
 
 BITS = 64
 #: Texts of a shard that go into one tree; larger shards are cut into cells.
@@ -264,7 +264,7 @@ def similar_pairs(texts: DataFrame, o: Settings) -> tuple[DataFrame, DataFrame]:
     """Of texts (id, text), rows with equal id being one text: the pairs (a, b, similarity) of class representatives that reach the similarity, a < b, and the members (id, representative)
     of every class. A class holds equal texts; its representative is the smallest id. Texts with too few words, null ones included, are in neither. An empty table gives none."""
     spark = texts.sparkSession
-    known = texts.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"))
+    known = spread(texts.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "text")).select("id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"))
     signed = known.mapInPandas(_signatures(o), "id bigint, c1 bigint, c2 bigint, bands array<bigint>, point bigint")
     classes = signed.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "bands", "point"), "id").alias("r")).select("r.*")
     candidates = written(_candidates(classes, o))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm.crf import Crf
 from quire.llm.pii_examples import KINDS, STREET_EN, STREET_FR, examples
+from quire.session import spread
 
 #: Rows of the labelled table, its seed, and rounds of training.
 EXAMPLES, SEED, ROUNDS = 1800, 5, 60
@@ -272,7 +273,7 @@ def mentions(documents: DataFrame) -> DataFrame:
             rows = [(d, k, a, z) for d, found in zip(b["doc_id"], t.find(b["text"].tolist()), strict=True) for a, z, k in found]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_pos", "end_pos"])
 
-    return documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, kind string, start_pos bigint, end_pos bigint")
+    return spread(documents.filter("doc_id IS NOT NULL").select("doc_id", "text")).mapInPandas(run, "doc_id bigint, kind string, start_pos bigint, end_pos bigint")
 
 
 def without_mentions(documents: DataFrame) -> DataFrame:
@@ -286,7 +287,7 @@ def without_mentions(documents: DataFrame) -> DataFrame:
             texts = [redacted(x, f) if x else x for x, f in zip(b["text"], found, strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts, "mentions": [len(f) for f in found]})
 
-    return documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, text string, mentions int")
+    return spread(documents.filter("doc_id IS NOT NULL").select("doc_id", "text")).mapInPandas(run, "doc_id bigint, text string, mentions int")
 
 
 assert {t.rstrip("+") for t in TAGS[1:]} == set(KINDS) and STREET_EN  # tags and kinds agree

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.skew import join_unique
-from quire.session import written
+from quire.session import spread, written
 
 #: At most so many words are sent to the workers.
 VOCABULARY = 500_000
@@ -299,6 +299,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
     spark = chunks.sparkSession
     cols = ["id", "book_id", "book_title", "chapter_title", "page_start", "page_end", "content"]
     pages = chunks.filter("lower(trim(section_type)) = 'page' AND content IS NOT NULL AND id IS NOT NULL").select(*cols)
+    pages = spread(pages)
     words = written(count_words(pages))  # read twice
     total = words.agg(F.sum("n").alias("t")).first()["t"] or 0
     frequent = words.filter((F.col("n") >= 2) & (F.col("n") >= total / VOCABULARY)).toPandas()  # at most VOCABULARY words

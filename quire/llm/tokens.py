@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import written
+from quire.session import spread, written
 
 #: Default of the path parameter: a byte-level BPE vocabulary as ranks, a base64 token and its rank on each line.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,7 +37,7 @@ def token_counts(texts: DataFrame, path: str = RANKS) -> DataFrame:
             yield b[rest].assign(tokens=[len(e.encode_ordinary(t)) if t else 0 for t in b["text"]])
 
     schema = ", ".join([*(f"`{n}` {k}" for n, k in texts.dtypes if n != "text"), "tokens bigint"])
-    return written(texts.select(*rest, "text").mapInPandas(run, schema))
+    return written(spread(texts.select(*rest, "text")).mapInPandas(run, schema))
 
 
 def document_tokens(documents: DataFrame, path: str = RANKS) -> DataFrame:
