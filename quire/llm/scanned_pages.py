@@ -1,7 +1,8 @@
 """Repair of text from scanned pages: running headers, page numbers, words broken over lines, misread characters.
 
 Three passes over the pages: count the words of the collection; count, for each book, title-like lines that come back at the edges of its pages, however distorted; then repair every page
-with the vocabulary and the lines that come back. The vocabulary sent to the workers is bounded: a word must make up 1 / VOCABULARY of all running words.
+with the vocabulary and the lines that come back. The vocabulary sent to the workers is bounded: a word must make up 1 / VOCABULARY of all running words. What a page needs to know of other words
+is looked up for it by a join with all counts, and the page repaired again, so that the bound decides nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,12 +105,9 @@ def count_words(pages: DataFrame) -> DataFrame:
     return pages.select("content").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def meant(word: str, counts: dict[str, int], bad: dict[str, str] | None = None) -> str | None:
-    """What a word was before it was misread, or None: the most frequent known word that one or two confusions away is RATIO times as frequent."""
-    if bad is not None and word in bad:
-        return bad[word]
-    own = counts.get(word, 1)
-    seen, best = {word}, None
+def confused(word: str) -> Iterator[list[str]]:
+    """The words one confusion away, then those two away."""
+    seen = {word}
     rim = [word]
     for _ in range(2):
         after = []
@@ -120,14 +119,75 @@ def meant(word: str, counts: dict[str, int], bad: dict[str, str] | None = None)
                     if x not in seen:
                         seen.add(x)
                         after.append(x)
-                        n = counts.get(x, 0)
-                        if n >= RATIO * own and (best is None or n > counts[best]):
-                            best = x
                     i = w.find(a, i + 1)
-        if best is not None or len(after) > 400:
+        yield after
+        if len(after) > 400:
             break
         rim = after
-    return best
+
+
+def meant(word: str, counts: dict[str, int]) -> str | None:
+    """What a word was before it was misread, or None: the most frequent known word that one or two confusions away is RATIO times as frequent."""
+    own = counts.get(word, 1)
+    for some in confused(word):
+        best = max(some, key=lambda x: counts.get(x, 0), default=None)
+        if best is not None and counts.get(best, 0) >= RATIO * own:
+            return best
+    return None
+
+
+class Known:
+    """The vocabulary as a worker knows it. counts: the words seen `least` times or more; bad: what those of them were that are misread; told: count (0 for one seen once at most) and true form of
+    further words. What none of them settles is noted in asks; until it is told, its count is 0 and it is no misreading."""
+
+    def __init__(self, counts: dict[str, int], bad: dict[str, str], least: float) -> None:
+        self.counts, self.bad, self.least = counts, bad, least
+        self.told: dict[str, tuple[int, str | None]] = {}
+        self.asks: set[str] = set()
+
+    def n(self, word: str) -> int:
+        if word in self.counts or self.least <= 2:
+            return self.counts.get(word, 0)
+        if word not in self.told:
+            self.asks.add(word)
+            return 0
+        return self.told[word][0]
+
+    def meant(self, word: str) -> str | None:
+        if word in self.counts:
+            return self.bad.get(word)  # whatever is RATIO times as frequent is in counts too
+        if self.least <= 2:
+            return meant(word, self.counts)
+        if word in self.told:
+            return self.told[word][1]
+        near = next(confused(word))
+        best = max(near, key=lambda x: self.counts.get(x, 0), default=None)
+        if best is None or self.counts.get(best, 0) >= RATIO * self.least:
+            return best
+        self.asks.add(word)
+        return None
+
+
+def looked_up(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n, right) for each of asked (word), which are distinct: its count in words (word, n) and what meant() makes of it there, by a join of the words one and two confusions away with the counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["asked", "word", "level", "place"]
+        for b in batches:
+            rows: list[tuple[str, str, int, int]] = []
+            for w in b["word"]:
+                rows.append((w, w, 0, 0))
+                for level, some in enumerate(confused(w), 1):
+                    rows += [(w, x, level, k) for k, x in enumerate(some)]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
+            yield pd.DataFrame(rows, columns=cols)
+
+    tried = asked.mapInPandas(run, "asked string, word string, level int, place int").join(words, "word", "left")
+    near = F.collect_list(F.when((F.col("level") > 0) & F.col("n").isNotNull(), F.struct("level", (-F.col("n")).alias("less"), "place", "word"))).alias("near")
+    one = tried.groupBy("asked").agg(F.max(F.when(F.col("level") == 0, F.col("n"))).alias("n"), near)
+    return one.select(F.col("asked").alias("word"), F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"array_min(filter(near, x -> x.less <= -{RATIO} * coalesce(n, 1))).word").alias("right"))
 
 
 @dataclass
@@ -176,24 +236,27 @@ def _letters_at_start(s: str) -> str:
     return m[1] if m else ""
 
 
-def _broken(left: str, right: str, mark: str, counts: dict[str, int]) -> bool:
+def _broken(left: str, right: str, mark: str, known: Known) -> bool:
     """Whether the mark between two pieces breaks a word, and is no part of it."""
     if mark in "­¬":
         return True
     joined, compound = (left + right).lower(), f"{left}-{right}".lower()
-    a, b = counts.get(joined, 0), counts.get(compound, 0)
+    a, b = known.counts.get(joined, 0), known.counts.get(compound, 0)
+    if not a and not b:
+        a, b = known.n(joined), known.n(compound)
     if a or b:
         return a > b
     for w, yes in ((joined, True), (compound, False)):
-        if meant(w, counts):
+        if known.meant(w):
             return yes
-    if compound.rstrip("s") in counts or compound + "s" in counts or compound + "e" in counts:
+    if any([known.n(w) for w in (compound.rstrip("s"), compound + "s", compound + "e")]):  # a list: all that is not known is asked at once
         return False
     # neither is known: two words of their own are a compound
-    return not (counts.get(left.lower(), 0) > 1 and counts.get(right.lower(), 0) > 1 and len(left) > 2 and len(right) > 2)
+    own = [known.n(w.lower()) for w in (left, right)]
+    return not (min(own) > 1 and len(left) > 2 and len(right) > 2)
 
 
-def repair(content: str, titles: list[str], repeated: set[int], pages: range | None, counts: dict[str, int], bad: dict[str, str], cache: dict[str, str | None]) -> Repair:
+def repair(content: str, titles: list[str], repeated: set[int], pages: range | None, known: Known, cache: dict[str, str | None]) -> Repair:
     found = Repair()
     lines = content.split("\n")
     body = [x for x in _line_parts(lines, titles, repeated, pages, found) if x is not None]
@@ -215,7 +278,7 @@ def repair(content: str, titles: list[str], repeated: set[int], pages: range | N
         if open_mark:
             mark, left, right = run[-1], _letters_at_end(run[:-1]), _letters_at_start(bare)
             if left and right and any(c.isalpha() for c in left[-1:]):
-                if _broken(left, right, mark, counts):
+                if _broken(left, right, mark, known):
                     found.kinds.add("hyphen")
                     run = run[:-1] + bare
                 else:
@@ -237,14 +300,16 @@ def repair(content: str, titles: list[str], repeated: set[int], pages: range | N
         for i in range(0, len(parts), 2):
             word = _EDGE.sub("", parts[i])
             low = word.lower()
-            if len(low) < 3 or (k == 0 and i == 0 and low == word and low not in counts) or (open_mark and k == len(paragraphs) - 1 and i >= len(parts) - 1):
+            if len(low) < 3 or (k == 0 and i == 0 and low == word and not known.n(low)) or (open_mark and k == len(paragraphs) - 1 and i >= len(parts) - 1):
                 continue
-            if low not in cache:
-                cache[low] = _misread(low, word, counts, bad)
-                if len(cache) > 200_000:
-                    cache.clear()
-                    cache[low] = _misread(low, word, counts, bad)
-            right = cache[low]
+            if low in cache:
+                right = cache[low]
+            else:
+                right = _misread(low, word, known)
+                if low not in known.asks:
+                    if len(cache) > 200_000:
+                        cache.clear()
+                    cache[low] = right
             if right is not None:
                 if word != low and not word[1:].islower() and word.upper() == word and not SIGN.search(word):
                     continue  # codes and names in capitals
@@ -256,10 +321,10 @@ def repair(content: str, titles: list[str], repeated: set[int], pages: range | N
     return found
 
 
-def _misread(low: str, word: str, counts: dict[str, int], bad: dict[str, str]) -> str | None:
+def _misread(low: str, word: str, known: Known) -> str | None:
     if not any(c.isalpha() for c in low):
         return None
-    right = meant(low, counts, bad)
+    right = known.meant(low)
     if right is not None:
         return right
     if sum(c.isalpha() for c in low) >= 3 and (SIGN.search(low) or (DIGIT_INSIDE.search(word) and len(word) >= 5)):
@@ -300,27 +365,49 @@ def repaired(chunks: DataFrame) -> DataFrame:
     cols = ["id", "book_id", "book_title", "chapter_title", "page_start", "page_end", "content"]
     pages = chunks.filter("lower(trim(section_type)) = 'page' AND content IS NOT NULL AND id IS NOT NULL").select(*cols)
     pages = spread(pages)
-    words = written(count_words(pages))  # read twice
+    words = written(count_words(pages))  # read twice or more
     total = words.agg(F.sum("n").alias("t")).first()["t"] or 0
-    frequent = words.filter((F.col("n") >= 2) & (F.col("n") >= total / VOCABULARY)).toPandas()  # at most VOCABULARY words
+    least = max(2, total / VOCABULARY)
+    words = words.filter("n >= 2")
+    frequent = words.filter(F.col("n") >= least).toPandas()  # at most VOCABULARY words
     counts = dict(zip(frequent["word"].tolist(), frequent["n"].tolist(), strict=True))
     bad = {w: x for w in counts if (x := meant(w, counts)) is not None}
     shared = spark.sparkContext.broadcast((counts, bad))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, bad = shared.value
+        known = Known(*shared.value, least)
         cache: dict[str, str | None] = {}
         for b in batches:
-            kinds, texts = [], []
+            kinds, texts, asks = [], [], []
             for r in b.itertuples():
                 first = r.page_start if pd.notna(r.page_start) else r.page_end
                 last = r.page_end if pd.notna(r.page_end) else first
                 pages = None if pd.isna(first) else range(int(first), int(max(first, last)) + 1)
                 titles = [plain(t) for t in (r.book_title, r.chapter_title) if t]
-                done = repair(r.content, titles, set(r.lines) if r.lines is not None else set(), pages, counts, bad, cache)
+                known.asks = set()
+                known.told = {w: (int(n), x or None) for n, w, x in (t.split(" ") for t in r.told)} if r.told is not None else {}
+                done = repair(r.content, titles, set(r.lines) if r.lines is not None else set(), pages, known, cache)
+                asks.append(sorted(known.asks))
                 kinds.append(sorted(done.kinds))
-                texts.append(done.text)
-            yield pd.DataFrame({"id": b["id"], "book_id": b["book_id"], "page_start": b["page_start"], "page_end": b["page_end"], "kinds": kinds, "text": texts})
+                texts.append("" if known.asks else done.text)
+            yield pd.DataFrame({"id": b["id"], "book_id": b["book_id"], "page_start": b["page_start"], "page_end": b["page_end"], "kinds": kinds, "text": texts, "asks": asks})
 
+    schema = "id bigint, book_id bigint, page_start int, page_end int, kinds array<string>, text string, asks array<string>"
     marked = pages.dropDuplicates(["id"]).join(repeated_lines(pages), "id", "left")
-    return marked.mapInPandas(run, "id bigint, book_id bigint, page_start int, page_end int, kinds array<string>, text string")
+    if least <= 2:  # the workers know all words
+        return marked.withColumn("told", F.lit(None).cast("array<string>")).mapInPandas(run, schema).drop("asks")
+    marked = written(marked)
+    todo, told, done = marked.withColumn("told", F.lit(None).cast("array<string>")), None, []
+    while True:  # twice; once more only where the pieces of a word over three lines or more, none with a blank, were not known
+        out = written(todo.mapInPandas(run, schema))
+        done.append(out.filter("size(asks) = 0").drop("asks"))
+        asks = out.select("id", F.explode("asks").alias("word"))
+        if asks.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        asked = written(asks.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+        answers = join_unique(asks, looked_up(asked.select("word"), words), ["word"], asked, "n")
+        # no word has a blank
+        now = written(answers.select("id", F.concat_ws(" ", F.col("n").cast("string"), "word", F.coalesce("right", F.lit(""))).alias("told")))
+        told = now if told is None else told.unionByName(now)
+        ids = out.filter("size(asks) > 0").select("id")
+        todo = marked.join(ids, "id", "left_semi").join(told.groupBy("id").agg(F.collect_list("told").alias("told")), "id")

@@ -227,6 +227,23 @@ def test_repair_of_pages(spark):
     assert scanned_pages.repaired(df.limit(0)).count() == 0
 
 
+def test_the_bound_of_the_vocabulary_decides_nothing(spark, monkeypatch):
+    base = "le bureau applique la contribution principale du registre rural et la taxe "
+    # below the bound: a misread word and its true form, a word of its own that another one is like, and broken words known only joined or with their mark
+    rare = base + "fermage fermage fermage fermage fermage fermage fermage fermage puis ferrnage et foire toire toire toire toire toire foire foire du sous-bail sous-bail cadastre cadastre du"
+    rows = [page(i, base * 40) for i in range(6)] + [page(10, rare), page(11, "la taxe du cadas-\ntre rural"), page(12, "la taxe du sous-\nbail rural"), page(13, "le bureau toire applique la contribufion"), page(14, "le regis-\ntre du ca-\ndas-\ntre rural")]
+    df = spark.createDataFrame(rows, "id bigint, book_id bigint, book_title string, chapter_title string, page_start int, page_end int, section_type string, content string")
+    chunks = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet")
+    for pages in (df, chunks):
+        monkeypatch.setattr(scanned_pages, "VOCABULARY", 500_000)
+        want = {r.id: (r.kinds, r.text) for r in scanned_pages.repaired(pages).collect()}
+        monkeypatch.setattr(scanned_pages, "VOCABULARY", 25)
+        assert {r.id: (r.kinds, r.text) for r in scanned_pages.repaired(pages).collect()} == want
+        if pages is df:
+            assert want[10][0] == ["characters"] and "puis fermage et" in want[10][1]
+            assert {i: want[i] for i in (11, 12, 13)} == {11: (["hyphen"], "la taxe du cadastre rural"), 12: ([], "la taxe du sous-bail rural"), 13: (["characters"], "le bureau toire applique la contribution")}
+
+
 def test_repeated_lines_without_titles(spark):
     rows = [page(i, f"LA CHAMBRE DES COMP{'X' if i == 2 else 'T'}ES RURALES\nle bureau numéro", book_title=None, chapter_title=None) for i in range(5)]
     df = spark.createDataFrame(rows, "id bigint, book_id bigint, book_title string, chapter_title string, page_start int, page_end int, section_type string, content string")
