@@ -28,6 +28,8 @@ VOCABULARY = 500_000
 RATIO = 8
 #: A line runs through a book if it is on so many pages.
 REPEATED = 3
+#: The halves of a line are cut up to so many characters before and after its middle.
+SHIFT = 2
 #: Marks at the end of a line that may break a word; the last two are never part of one.
 MARKS = "-‐­¬"
 #: What scanners make of letters (fixed values): read, meant.
@@ -337,7 +339,7 @@ def _misread(low: str, word: str, known: Known) -> str | None:
 
 
 def _edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Title-like lines by their halves: a distorted character leaves one half as it is."""
+    """Title-like lines by their halves, cut within SHIFT characters of the middle: a distorted character leaves one half as it is, also where it makes the line longer or shorter. Short lines as a whole."""
     for b in batches:
         rows = []
         for id_, book, content in zip(b["id"], b["book_id"], b["content"], strict=True):
@@ -345,16 +347,18 @@ def _edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if title_like(line):
                     p = re.sub(r"^\d+|\d+$", "", plain(line))
                     if len(p) >= 12:
-                        h = len(p) // 2
-                        rows += [(id_, book, i, "<" + p[:h]), (id_, book, i, ">" + p[-h:])]
+                        for h in range(max(6, len(p) // 2 - SHIFT), len(p) // 2 + SHIFT + 1):
+                            rows += [(id_, book, i, "<" + p[:h]), (id_, book, i, ">" + p[-h:])]
+                    else:
+                        rows.append((id_, book, i, "=" + plain(_BESIDE.sub("", line))))  # with its digits: ARTICLE 1 and ARTICLE 2 are two lines
         yield pd.DataFrame(rows, columns=["id", "book_id", "line", "half"]).astype({"id": "int64", "book_id": "int64", "line": "int32"})
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """(id, lines): numbers of the lines that come back on REPEATED pages of their book or more. Pages without book are left out."""
     lines = pages.filter("book_id IS NOT NULL").select("id", "book_id", "content").mapInPandas(_edge_lines, "id bigint, book_id bigint, line int, half string")
-    counts = lines.groupBy("book_id", "half").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.filter(F.col("n") >= REPEATED).select("book_id", "half")
+    counts = lines.groupBy("book_id", "half").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("pages"))
+    often = counts.filter(F.col("pages") >= REPEATED).select("book_id", "half")
     return join_unique(lines, often, ["book_id", "half"], counts, "n").groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 

@@ -250,6 +250,18 @@ def test_repeated_lines_without_titles(spark):
     assert all(r.kinds == ["header"] and r.text == "le bureau numéro" for r in scanned_pages.repaired(df).collect())
 
 
+def test_repeated_lines_longer_or_shorter_on_distinct_pages(spark):
+    schema = "id bigint, book_id bigint, book_title string, chapter_title string, page_start int, page_end int, section_type string, content string"
+    none = dict(book_title=None, chapter_title=None)
+    heads = ["LA CHAMBRE DES COMPTES RURALES", "LA CHAMBRE DES COMPTES RURALES", "LA CHARNBRE DES COMPTES RURALES", "LA CHAMBRE DES COMPTES RURAES"]
+    rows = [page(i, f"{h}\nle bureau numéro", **none) for i, h in enumerate(heads)]
+    rows += [page(10 + i, "LES BAUX\nle bureau numéro", book_id=2, **none) for i in range(3)]
+    rows += [page(20 + i, f"ARTICLE {i}\nle bureau numéro", book_id=3, **none) for i in range(3)]
+    rows += [page(30, "LA CHAMBRE DES MÉTIERS\nle bureau numéro", book_id=4, **none)] * 4  # one page, delivered four times
+    got = {r.id: r.kinds for r in scanned_pages.repaired(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {i: ["header"] if i < 20 else [] for i in got} and len(got) == 11
+
+
 def test_roman():
     assert [scanned_pages.roman(x) for x in ("i", "iv", "ix", "xiv", "xli", "xcix")] == [1, 4, 9, 14, 41, 99]
 
