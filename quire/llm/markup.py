@@ -94,15 +94,16 @@ def is_code(content: str) -> bool:
 
 
 class _Html(HTMLParser):
-    """Text of HTML with its structure as plain signs; counts tags and text for every line of the source."""
+    """Text of HTML with its structure as plain signs; counts tags and text for every line of the source. never_closed: tags, with their places, that an earlier reading found open at the end; their text is kept."""
 
-    def __init__(self, lines: int) -> None:
+    def __init__(self, lines: int, never_closed: frozenset[tuple[str, tuple[int, int]]] = frozenset()) -> None:
         super().__init__(convert_charrefs=False)
         self.marks = 0
         self.closed = 0
         self.out: list[tuple[int, str]] = []  # (source line, piece)
         self.tags, self.letters = np.zeros(lines + 1), np.zeros(lines + 1)
-        self.skip = 0
+        self.skip: list[tuple[str, tuple[int, int]]] = []  # open tags whose text is left out
+        self.never_closed = never_closed
         self.code = 0
         self.lists: list[list] = []
         self.kept: set[int] = set()
@@ -116,6 +117,15 @@ class _Html(HTMLParser):
                 self.out.append((line + k, part))
                 self.letters[min(line + k, len(self.letters) - 1)] += len(part.strip())
 
+    def _never_closed(self, tag: str) -> bool:
+        here = self.getpos()
+        # of scripts and styles nothing ends a later one either
+        return any(t == tag and (at == here or (tag in self.CDATA_CONTENT_ELEMENTS and at < here)) for t, at in self.never_closed)
+
+    def set_cdata_mode(self, elem: str, **k: bool) -> None:
+        if not self._never_closed(elem):
+            super().set_cdata_mode(elem, **k)
+
     def _keep(self) -> None:
         self.kept.add(self.getpos()[0])
 
@@ -125,7 +135,8 @@ class _Html(HTMLParser):
         self.marks += 1
         self.tags[self.getpos()[0]] += 1
         if tag in _SKIP:
-            self.skip += tag not in ("title",)
+            if tag != "title" and not self._never_closed(tag):
+                self.skip.append((tag, self.getpos()))
         elif tag in ("pre", "code"):
             if not self.code and (tag == "pre"):
                 self._keep()
@@ -161,7 +172,9 @@ class _Html(HTMLParser):
         self.closed += 1
         self.tags[min(self.getpos()[0], len(self.tags) - 1)] += 1
         if tag in _SKIP:
-            self.skip = max(0, self.skip - (tag not in ("title",)))
+            opened = [k for k, (t, _) in enumerate(self.skip) if t == tag]
+            if opened:
+                del self.skip[opened[-1] :]
         elif tag == "pre":
             if self.code:
                 self.code -= 1
@@ -203,9 +216,14 @@ class _Html(HTMLParser):
 def _tags(content: str, kinds: set[str], code: bool) -> str:
     if "<" not in content and "&" not in content:
         return content
-    p = _Html(content.count("\n") + 1)
-    p.feed(content)
-    p.close()
+    never_closed: frozenset[tuple[str, tuple[int, int]]] = frozenset()
+    while True:  # a few times at most: an open script or style hides the tags after it
+        p = _Html(content.count("\n") + 1, never_closed)
+        p.feed(content)
+        p.close()
+        if not p.skip:
+            break
+        never_closed |= frozenset(p.skip)
     entities = bool(_ENTITY.search(content)) and any(html.unescape(m) != m for m in _ENTITY.findall(content))
     if p.marks and (not code or p.closed) or entities:
         kinds.add("html")

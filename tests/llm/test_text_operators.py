@@ -195,6 +195,13 @@ def test_clean_text():
     assert len(markup.read("<p>word</p> " * 50_000).text) > 200_000
 
 
+@pytest.mark.parametrize("tag", ["head", "style", "script", "noscript", "template"])
+def test_text_after_a_tag_that_is_never_closed(tag):
+    assert markup.read(f"<p>one</p>\n<{tag}>two <b>three</b>\n<style>x{{}}</style>\n<p>four</p>".replace("<style>x{}</style>", "" if tag == "style" else "<style>x{}</style>")).text.split() == ["one", "two", "three", "four"]
+    assert markup.read(f"<p>one</p><{tag}>two</{tag}><p>three</p><{tag}>four<p>five</p>").text.split() == ["one", "three", "four", "five"]
+    assert markup.read("<head><style>a</style><script>b<p>c</p>").text.split() == ["b", "c"]
+
+
 def test_cleaned_rows(spark):
     df = spark.createDataFrame([(1, "a **b c** d", None, 5), (2, None, None, 5), (3, "", None, 5), (None, "<b>x</b>", None, 5), (4, "# x", "function", 5)], "id bigint, content string, section_type string, kinds int")
     assert {r.id: (r.kinds, r.text) for r in markup.cleaned(df).collect()} == {1: (["markdown"], "a b c d"), 3: ([], ""), 4: ([], "# x")}
