@@ -92,8 +92,8 @@ def content_digest(hash_: Column, content: Column) -> Column:
 
 
 def consumed_version(chunk_state: DataFrame, sync_runs: DataFrame) -> Version:
-    """The version that the done runs have consumed: a fragment holds what one such run took, and the rows that a later done run took again are masked. Runs that failed or
-    never finished are in no manifest. Rows without key or run are ignored; of rows of one run with the same key the one consumed last counts."""
+    """The version that the done runs have consumed, as one fragment without deletion vector: of rows with the same key the one of the latest such run counts, of one run the one consumed last. What
+    runs that failed or never finished took is not in it. Rows without key or run are ignored. As no other version has this fragment, a comparison reads all of it."""
     done = sync_runs.filter("outcome = 'done'").select("run_id").distinct()
     latest = F.max_by("content_hash", F.struct("run_id", "consumed_at", "content_hash"))
 
