@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quire.session import shared_dir
 from quire.sources.versioned import Manifest, VersionedTable
 
 
@@ -43,13 +46,15 @@ def record_deltas(old: Version, new: Version, keys: list[str]) -> DataFrame:
 
 
 def stored_version(table: VersionedTable, manifest: Manifest, digest: Column) -> Version:
-    """A version of a stored table, with a digest over its columns."""
+    """A version of a stored table, with a digest over its columns (where deletion vectors carry columns, over those and the keys)."""
     read = lambda some: table.rows({k: list(v) for k, v in some.items()}).withColumn("digest", digest)
 
     def masked(some: dict[str, tuple[str, ...]]) -> DataFrame:
         """Rows that the given deletion vectors mask, as they were before."""
-        whole = table.rows({k: [] for k in some})
-        return whole.join(table.masks({k: list(v) for k, v in some.items()}), [*table.keys, "_fragment"], "left_semi").withColumn("digest", digest)
+        vectors = {k: list(v) for k, v in some.items()}
+        if table.carried:
+            return table.masks(vectors).withColumn("digest", digest)
+        return table.rows({k: [] for k in some}).join(table.masks(vectors), [*table.keys, "_fragment"], "left_semi").withColumn("digest", digest)
 
     return Version({k: tuple(v) for k, v in manifest.fragments.items()}, read, masked)
 
@@ -63,20 +68,26 @@ class IncrementalJob:
     def __init__(self, source: VersionedTable, output: VersionedTable, digest: Column) -> None:
         self.source, self.output, self.digest = source, output, digest
 
-    def pending(self) -> tuple[DataFrame, Manifest, Manifest]:
-        """The changes since the last successful run, the source version they lead to, and the output version to build on."""
+    def starts_after(self, version: int) -> None:
+        """The first commit of an output whose earlier versions of the source were processed elsewhere."""
+        self.output.commit(properties={self.PROCESSED: str(version)})
+
+    def pending(self) -> tuple[DataFrame, Manifest, Manifest, Manifest]:
+        """The changes since the last successful run, the source versions they lead from and to, and the output version to build on."""
         base, upto = self.output.manifest(), self.source.manifest()
         since = self.source.manifest(int(base.properties.get(self.PROCESSED, "0")))
-        return record_deltas(stored_version(self.source, since, self.digest), stored_version(self.source, upto, self.digest), self.source.keys), upto, base
+        return record_deltas(stored_version(self.source, since, self.digest), stored_version(self.source, upto, self.digest), self.source.keys), since, upto, base
 
     def run(self, process: Callable[[DataFrame], DataFrame]) -> int:
-        """Applies process to the new and changed rows of the source and commits; returns the source version now processed. With nothing new it commits nothing."""
-        deltas, upto, base = self.pending()
+        """Applies process to the new and changed rows of the source (with their `op`) and commits; returns the source version now processed. With nothing new it commits nothing.
+        New and changed rows are read from added fragments alone."""
+        deltas, since, upto, base = self.pending()
         if int(base.properties.get(self.PROCESSED, "0")) == upto.version:
             return upto.version
         keys = self.source.keys
-        rows = self.source.rows(upto.fragments).drop("_fragment").join(deltas.filter("op <> 'delete'").select(*keys), keys, "left_semi")
-        gone = deltas.filter("op = 'delete'").select(*keys)
+        fresh = {f: v for f, v in upto.fragments.items() if f not in since.fragments or not set(since.fragments[f]) <= set(v)}
+        rows = self.source.rows(fresh).drop("_fragment").join(deltas.filter("op <> 'delete'").select(*keys, "op"), keys)
+        gone = deltas.filter("op = 'delete'").select(*keys) if base.fragments else None
         self.output.commit(process(rows), gone, {self.PROCESSED: str(upto.version)}, base)
         return upto.version
 
@@ -91,31 +102,43 @@ def content_digest(hash_: Column, content: Column) -> Column:
     return F.coalesce(plain_hash(hash_), F.substring(F.md5(content.cast("binary")), 1, 12))
 
 
-def consumed_version(chunk_state: DataFrame, sync_runs: DataFrame) -> Version:
-    """The version that the done runs have consumed, as one fragment without deletion vector: of rows with the same key the one of the latest such run counts, of one run the one consumed last. What
-    runs that failed or never finished took is not in it. Rows without key or run are ignored. As no other version has this fragment, a comparison reads all of it."""
-    done = sync_runs.filter("outcome = 'done'").select("run_id").distinct()
-    latest = F.max_by("content_hash", F.struct("run_id", "consumed_at", "content_hash"))
-
-    def rows(some: dict[str, tuple[str, ...]]) -> DataFrame:
-        taken = chunk_state.join(done, "run_id", "left_semi").filter("chunk_pk IS NOT NULL")
-        return taken.groupBy(F.col("chunk_pk").alias("id")).agg(latest.alias("_h")).select("id", plain_hash(F.col("_h")).alias("digest"))
-
-    return Version({"done-runs": ()}, rows)
-
-
-def present_version(chunks: DataFrame) -> Version:
-    """The chunks as they are now; those with removed_at are masked. Rows with one id are one record, the one with the earliest loaded_at."""
-
-    def rows(some: dict[str, tuple[str, ...]]) -> DataFrame:
-        live = chunks.filter("id IS NOT NULL").select("id", "loaded_at", F.col("removed_at").isNotNull().alias("gone"), content_digest(F.col("content_hash"), F.col("content")).alias("digest"))
-        one = live.groupBy("id").agg(F.min(F.struct(F.col("loaded_at").isNull().alias("x"), "loaded_at", "digest", "gone")).alias("r"))
-        return one.filter("NOT r.gone").select("id", "r.digest")
-
-    return Version({"chunks": ()}, rows)
-
-
-def pending_chunks(chunks: DataFrame, chunk_state: DataFrame, sync_runs: DataFrame) -> DataFrame:
-    """(id, op): the chunks that are new or changed since they were last consumed with success, once each."""
-    deltas = record_deltas(consumed_version(chunk_state, sync_runs), present_version(chunks), ["id"])
-    return deltas.filter("op <> 'delete'").select("id", "op")
+#: What is known of a chunk in a version: its hash alone.
+CHUNK_STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("digest", T.StringType())])
+PENDING = T.StructType([T.StructField("id", T.LongType()), T.StructField("op", T.StringType())])
+
+
+def consumed_versions(table: VersionedTable, chunk_state: DataFrame, sync_runs: DataFrame) -> int:
+    """Writes what the done runs have consumed as versions of an empty table (id, digest), one for each run in order, of which the last is kept: a fragment holds what the run took, and a deletion vector on it what a later
+    done run took again. What runs that failed or never finished took is in no manifest. Of rows with one key and run the one consumed last counts; rows without key or run are ignored.
+    Returns the version of the last run, 0 if there is none."""
+    done = sorted(r["run_id"] for r in sync_runs.filter("outcome = 'done' AND run_id IS NOT NULL").select("run_id").distinct().collect())  # one manifest each
+    latest = F.max_by("content_hash", F.struct("consumed_at", "content_hash"))
+    taken = chunk_state.filter("chunk_pk IS NOT NULL").groupBy(F.col("chunk_pk").alias("id"), "run_id").agg(latest.alias("h"))
+    made = table.replay(taken.select("id", plain_hash(F.col("h")).alias("digest"), "run_id"), "run_id", done, "run", keep=1)
+    return made[-1].version if made else 0
+
+
+def present_state(chunks: DataFrame) -> DataFrame:
+    """(id, digest, gone) of the chunks as they are now. Rows with one id are one record, the one with the earliest loaded_at (a null one counts as last)."""
+    live = chunks.filter("id IS NOT NULL").select("id", "loaded_at", F.col("removed_at").isNotNull().alias("gone"), content_digest(F.col("content_hash"), F.col("content")).alias("digest"))
+    return live.groupBy("id").agg(F.min(F.struct(F.col("loaded_at").isNull().alias("x"), "loaded_at", "digest", "gone")).alias("r")).select("id", "r.digest", "r.gone")
+
+
+def pending_chunks(chunks: DataFrame, chunk_state: DataFrame, sync_runs: DataFrame, folder: str | None = None) -> DataFrame:
+    """(id, op): the chunks that are new or changed since they were last consumed with success, once each; op is `insert` or `update`.
+
+    The chunks' state becomes a versioned table in the folder (by default a new one in the shared folder): the versions that done runs left, then the chunks as they are now, as one more commit.
+    An incremental job whose output says that the last run's version is processed then takes the difference of the manifests and commits it with the version now processed. Called again with the
+    same folder, it adds the present chunks as a further version, and gives only what has changed since."""
+    spark = chunks.sparkSession
+    at = folder or f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    source, output = VersionedTable(spark, f"{at}/chunks", CHUNK_STATE, ["id"], ["digest"]), VersionedTable(spark, f"{at}/pending", PENDING, ["id"])
+    job = IncrementalJob(source, output, F.col("digest"))
+    if not output.versions():
+        job.starts_after(consumed_versions(source, chunk_state, sync_runs))
+    now = present_state(chunks)
+    source.commit(now.filter("NOT gone").select("id", "digest"), now.filter("gone").select("id"))
+    job.run(lambda rows: rows.select("id", "op"))
+    last = output.manifest()
+    earlier = output.manifest(last.version - 1).fragments
+    return output.rows({f: v for f, v in last.fragments.items() if f not in earlier}).select("id", "op")

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import changes, history, intervals, references
-from quire.sources.tables import table
+from quire.sources.tables import one_record, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "article_versions").filter("id IS NOT NULL")
-    return t.groupBy("id").agg(F.min(F.struct("loaded_at", "article_ref", "date_debut", "date_fin")).alias("r")).select("r.*")
+    return one_record(table(spark, d, "article_versions"), "id", "article_ref", "date_debut", "date_fin").drop("id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -46,7 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Inputs up to this size may be moved to spread them over the cores.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer partitions than there are cores. Only an input below cores * spark.sql.files.maxPartitionBytes is moved by this; larger ones stay as they are."""
+    """df over all cores where it comes from a few small files whose row groups cannot be split. Never more than SPREAD_BYTES are moved, however many cores there are; larger inputs stay as their files give them."""
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of each table; a file that lacks one reads it as null.
@@ -31,10 +31,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def one_record(df: DataFrame, key: str, *columns: Column | str, at: str = "loaded_at") -> DataFrame:
-    """One row for each key, from its row with the earliest `at` (rows with a null key are dropped; a null `at` counts as last, and ties
+def one_record(df: DataFrame, key: str, *columns: str, at: str = "loaded_at") -> DataFrame:
+    """(key, columns...), one row for each key, from its row with the earliest `at` (rows with a null key are dropped; a null `at` counts as last, and ties
     are settled by the columns' own order, so that a repeated run gives the same rows)."""
-    names = [c if isinstance(c, str) else c._jc.toString() for c in columns]
-    row = F.struct(F.coalesce(F.col(at), F.lit("9999-12-31").cast("timestamp")).alias("_at"), *[F.col(n) for n in names])
+    row = F.struct(F.col(at).isNull().alias("_late"), F.col(at).alias("_at"), *[F.col(n) for n in columns])
     best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{n}").alias(n) for n in names])
+    return best.select(key, *[F.col(f"_r.{n}").alias(n) for n in columns])

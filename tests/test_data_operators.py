@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 from collections import defaultdict
 
 import pytest
@@ -157,11 +158,54 @@ def test_incremental_job_survives_failures(spark, tmp_path):
     assert {tuple(r) for r in out.read().collect()} == {(2, "BB"), (3, "C")}
 
 
+def test_replay_is_one_commit_after_another(spark, tmp_path):
+    r = random.Random(8)
+    data = sorted({(r.randint(1, 40), s): r.choice("abc") for s in (2, 5, 9, 11) for _ in range(25)}.items(), key=lambda x: x[0][1])
+    df = spark.createDataFrame([(i, v, s) for (i, s), v in data] + [(None, "x", 2), (1, "x", None), (1, "x", 3)], "id bigint, v string, step int")
+    a, b = (VersionedTable(spark, f"file://{tmp_path}/{n}", SCHEMA, ["id"], ["v"]) for n in "ab")
+    a.replay(df, "step", [2, 5, 7, 9, 11], "run")
+    for s in (2, 5, 7, 9, 11):
+        b.commit(df.filter(F.col("step") == s).select("id", "v"), properties={"run": str(s)})
+    assert a.versions() == [1, 2, 3, 4, 5] and "step-7" not in a.manifest().fragments
+    for n in range(1, 6):
+        assert {tuple(x) for x in a.read(n).collect()} == {tuple(x) for x in b.read(n).collect()} and a.manifest(n).properties == b.manifest(n).properties
+    with pytest.raises(Conflict):
+        a.replay(df, "step", [2], "run")
+
+
+def test_unchanged_fragments_are_not_read(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA, ["id"], ["v"])
+    t.commit(rows(spark, *[(i, "a") for i in range(10)]))
+    t.commit(rows(spark, *[(i, "b") for i in range(100, 110)]))
+    one, two = t.manifest(2).fragments
+    t.commit(rows(spark, (105, "B"), (200, "c")))
+    assert t.manifest().fragments[one] == []  # out of the range of what was replaced
+    shutil.rmtree(tmp_path / "t" / "data" / one)
+    shutil.rmtree(tmp_path / "t" / "data" / two)  # only its deletion vector counts, which carries what is compared
+    at = lambda n: changes.stored_version(t, t.manifest(n), F.col("v"))
+    assert {(r.id, r.op) for r in changes.record_deltas(at(2), at(3), ["id"]).collect()} == {(105, "update"), (200, "insert")}
+
+
+def test_compaction_by_rule(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA, ["id"])
+    t.commit(rows(spark, *[(i, "a") for i in range(10)]))
+    for i in range(3):
+        t.commit(rows(spark, (i, "b")))
+    before = {tuple(x) for x in t.read().collect()}
+    assert t.compacted(10, 3).version == 4  # nothing to do
+    m = t.compacted(10, 2)
+    assert len(m.fragments) == 4 and max(map(len, m.fragments.values())) == 0 and {tuple(x) for x in t.read().collect()} == before
+    assert len(t.compacted(3).fragments) == 1 and {tuple(x) for x in t.read().collect()} == before
+
+
+CHUNKS = "id bigint, content_hash string, content string, loaded_at timestamp, removed_at timestamp"
+
+
 def test_pending_chunks(spark):
     t = dt.datetime(2024, 1, 1)
     chunks = spark.createDataFrame(
         [(1, "aa11", "x", t, None), (2, None, "y", t, None), (3, "cc", "z", t, t), (4, "dd", "w", t, None), (5, "ee", "v", t, None), (5, "ee", "v", t, None), (6, "ff", "u", None, None)],
-        "id bigint, content_hash string, content string, loaded_at timestamp, removed_at timestamp",
+        CHUNKS,
     )
     y = "415290769594"  # md5 of y
     state = spark.createDataFrame([(1, "MD5:AA11", 1, t), (1, "AA11", 1, t), (2, y.upper(), 1, t), (4, "d0", 1, t), (4, "dd", 2, t), (5, "ee", 1, t), (5, "old", 3, t), (None, "q", 1, t)], "chunk_pk bigint, content_hash string, run_id int, consumed_at timestamp")
@@ -170,6 +214,30 @@ def test_pending_chunks(spark):
     assert got == {(4, "update"), (5, "update"), (6, "insert")}
     assert changes.pending_chunks(chunks.limit(0), state, runs).count() == 0
     assert changes.pending_chunks(chunks, state.limit(0), runs).count() == 5
+    assert changes.pending_chunks(chunks, state, runs.limit(0)).count() == 5
+
+
+def test_pending_chunks_once_each_over_runs_that_die(spark, tmp_path, monkeypatch):
+    t = dt.datetime(2024, 1, 1)
+    at = f"file://{tmp_path}/p"
+    state = spark.createDataFrame([(1, "aa", 1, t), (2, "bb", 1, t)], "chunk_pk bigint, content_hash string, run_id int, consumed_at timestamp")
+    runs = spark.createDataFrame([(1, "done")], "run_id int, outcome string")
+    run = lambda *data: {(r.id, r.op) for r in changes.pending_chunks(spark.createDataFrame([(i, h, "x", t, g) for i, h, g in data], CHUNKS), state, runs, at).collect()}
+    data = [(1, "aa", None), (2, "b2", None), (3, "cc", None)]
+    real = VersionedTable._write_manifest
+
+    def dies(self, m):
+        if self.path.endswith("pending") and m.fragments:
+            raise RuntimeError("lost")
+        real(self, m)
+
+    monkeypatch.setattr(VersionedTable, "_write_manifest", dies)
+    with pytest.raises(RuntimeError):
+        run(*data)
+    monkeypatch.undo()
+    assert run(*data) == {(2, "update"), (3, "insert")}
+    assert run(*data, (4, "dd", None)) == {(4, "insert")}
+    assert run((1, "aa", t), (2, "b2", None), (3, "c3", None), (4, "dd", None)) == {(3, "update")}
 
 
 def test_history_merge_in_parts_is_the_whole(spark):
@@ -182,6 +250,33 @@ def test_history_merge_in_parts_is_the_whole(spark):
     part = history.merge_history(part, spark.createDataFrame(data[30:], ddl), "e", ["s"])
     assert {tuple(x) for x in part.collect()} == {tuple(x) for x in whole.collect()}
     assert history.merge_history(None, spark.createDataFrame([], ddl), "e", ["s"]).count() == 0
+    assert {tuple(x) for x in history.merge_history(whole, spark.createDataFrame([], ddl), "e", ["s"]).collect()} == {tuple(x) for x in whole.collect()}
+
+
+def test_history_merge_closes_extends_and_inserts(spark):
+    ddl = "e string, valid_from date, valid_to date, s string"
+    current = spark.createDataFrame([("a", day(0), day(9), "x"), ("a", day(10), None, "y"), ("b", day(0), None, "x"), ("c", day(0), day(3), "x"), ("d", day(5), None, None)], ddl)
+    change = spark.createDataFrame([("a", day(20), None, "z"), ("b", day(20), day(30), "x"), ("c", day(9), None, "x"), ("d", day(5), day(8), "w"), ("e", day(1), None, "x"), (None, day(1), None, "x"), ("e", None, None, "x"), ("e", day(9), day(8), "q")], ddl)
+    got = {tuple(x) for x in history.merge_history(current, change, "e", ["s"]).collect()}
+    assert got == {
+        ("a", day(0), day(9), "x"), ("a", day(10), day(19), "y"), ("a", day(20), None, "z"), ("b", day(0), day(30), "x"), ("c", day(0), day(3), "x"), ("c", day(9), None, "x"), ("d", day(5), day(8), "w"), ("e", day(1), None, "x"),
+    }
+
+
+def test_article_history_in_any_batches(spark):
+    from quire.sources.tables import table
+
+    notices = table(spark, "/root/testdata/sf0.001", "article_versions")
+    of = lambda *cuts: {tuple(x) for x in history.article_history(notices, cuts=cuts).collect()}
+    assert of() == of("2011-05-03") == of("1990-01-01", "2008-01-01", "2009-01-01", "2020-01-01")
+
+
+def test_the_earliest_record_counts(spark):
+    from quire.sources.tables import one_record
+
+    t = lambda n: dt.datetime(2024, 1, n)
+    df = spark.createDataFrame([(1, "late", t(5)), (1, "early", t(2)), (1, "unknown", None), (2, "unknown", None), (None, "x", t(1))], "id bigint, v string, loaded_at timestamp")
+    assert {tuple(x) for x in one_record(df, "id", "v").collect()} == {(1, "early"), (2, "unknown")}
 
 
 def test_history_from_snapshots(spark):
