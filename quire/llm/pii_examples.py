@@ -14,13 +14,14 @@ LAST = (
     "Hughes Green Hall Wood Clarke Harris Turner Morgan Cooper Bailey Bennett Foster Okafor Nguyen Rossi Schmidt Novak Haddad Keller Vasseur Quentin Tesson Barrière Prévost Montagne Lanoix Kervella"
 ).split()
 TITLE_FR, TITLE_EN = ["M.", "Mme", "Mlle", "Dr", "Me", "Pr"], ["Mr", "Mrs", "Ms", "Dr", "Mr.", "Prof."]
-STREET_FR = "rue|avenue|boulevard|impasse|chemin|allée|place|quai|cours|route|square|passage|faubourg|sentier|ruelle".split("|")
+STREET_FR = "rue|avenue|boulevard|impasse|chemin|allée|place|quai|cours|route|square|passage|faubourg|sentier|ruelle|av.|av.|av.|ave|bd|bd.|bd.|blvd|lotissement|résidence|hameau|cité|esplanade|promenade|montée|traverse|villa|ch.|pl.|lieu-dit|voie|Rue|Avenue|Boulevard".split("|")
 OF_FR = ["des Lilas", "du Moulin", "de la Gare", "de l'Église", "des Acacias", "Victor Hugo", "du Vieux Port", "de la Petite Fontaine", "des Deux Ponts", "du Puits à Roue", "Jean Jaurès", "Saint-Michel", "de l'Hôtel de Ville", "des Quatre Vents", "du Pré Vert", "du Bac", "de la Grande Rue", "du Four à Pain", "de la Belle Étoile", "de la Vieille Tour", "des Trois Sources", "de l'Abreuvoir", "de la Grande Ourse", "du Champ à Bœufs"]
 NAME_EN = ["Baker", "High", "Mill", "Church", "Oak Hill", "Silver Birch", "Long Meadow", "New Forge", "Station", "Queen Anne", "Elmwood", "Rosemoor", "Foxglove", "Low Barn", "Greenfield", "Cherry Orchard"]
 STREET_EN = "Street Road Lane Avenue Drive Close Terrace Court Way Place Crescent Gardens Square St. Rd. Row".split()
 TOWN = ["Lyon", "Nantes", "Villefranche", "Montreuil", "Saint-Denis", "Aix-les-Bains", "Châlons-en-Champagne", "Bourg-la-Reine", "Springfield", "Oakham", "Kingsbury", "Newport", "Ashford", "Marbourg-le-Vieux", "Riverton", "Beaumont"]
 DOMAIN = ["exemple", "courriel", "mail", "bureau", "societe-test", "poste", "firm", "office", "contoso", "reseau"]
 COMPANY = ["Durandal", "Nordex", "Altaris", "Clairval", "Novatek", "Belmonte", "Acrys", "Orvane", "Lumeris", "Trigane", "Maxiline", "Verdane", "Solenys", "Cortexia", "Pranelia"]
+PUBLIC = "Levées Locales Affaires Générales Travaux Urbains Archives Centrales Ressources Humaines Marchés Publics Recettes Comptes Foncières Régionales Taxes Communales Registres Ruraux Services Fiscaux Baux Domaines Eastern Planning Records Public Works Rural Archives".split()
 SYLLABLES = "ba bel bri ca cor da del du fa fer gar gri hel jo jor ka lan le lor ma mar mer na nor o per pra quin ra rem ro sa sor ta tel ti tor va ver vi wes za".split()
 ENDS = "dane mond vier lène thée rin win nor gard mire zeau vaz lard moux ton sac quel chon peyre feld".split()
 
@@ -37,7 +38,9 @@ POSITIVE = [
     "Le relevé porte {id} deux fois.", "Selon le relevé, {id} figure deux fois.", "The log shows {id} twice.", "We found {id} in the export.", "The file lists {id} and {id}.",
     "{titled}, demeurant {address}, conteste la décision.", "{name}, demeurant {address}, a déposé une demande.", "{name}, living at {addresse}, disputes the notice.", "{titled}, residing at {addresse}, signed the form.",
     "Envoyer la copie chez {name}, {address}.", "Ship the copy to {name}, {addresse}.", "Deliver to {titled}, {addresse}.", "Adresse de correspondance : {address}.", "Mailing address: {addresse}.", "Adresse : {address}", "Address: {addresse}",
-    "La visite aura lieu au {address}.", "The visit takes place at {addresse}.", "Le rendez-vous est fixé {address}.", "Il habite {address}, depuis {year}.", "She moved to {addresse} last May.",
+    "La visite aura lieu au {address}.", "The visit takes place at {addresse}.", "Le rendez-vous est fixé {address}.", "Il habite {address}, depuis {year}.", "{name} {did}.", "{name} {diden}.", "Hier, {name} {did} au guichet.", "On a dit que {name} {did}.", "They say {name} {diden} twice.", "La copie remise à {name} {did2}.", "A note for {name} came back.", "un courrier reçu de {name} hier", "{name} ({email}) {did}.",
+    "Mon numéro ({id}) figure au dossier.", "my number is {id}, keep it safe", "Son numéro de sécurité sociale ({id}) est exact.", "Le numéro {id} est le mien.", "social security number {id}, tax id {id}", "passport number {id} belongs to {name}", "Contactez {email} pour en savoir plus.", "par mail ({email}) ou au {phone}",
+    "You can reach me at {email} any time.", "Il vit au {address}.", "Passer au {address} avant midi.", "Rendez-vous {address}.", "Venir au {address}", "domicilié au {address},", "Colis à déposer {address} ce soir.", "{address}", "{addresse}", "Son courrier arrive à {addresse}.", "mon adresse est {address}, merci", "She moved to {addresse} last May.",
     "{name} a présenté le rapport.", "{name} a pris la parole.", "{name} presented the report.", "{name} joined the meeting late.", "la demande, selon {name}, reste à vérifier", "the request, says {name}, remains open.",
     "le montant, d'après {titled}, est exact", "Selon {name}, la décision est prise.", "According to {name}, the change is safe.", "proposé par {name} et validé par {name}", "reviewed by {name} and merged by {name}",
     "Merci à {name} pour sa relecture.", "Thanks to {name} for the review.", "une lettre de {name} du {date}", "as {name} wrote in {year},", "Le compte de {name} est clos.", "{titled} remplace {titled} à partir du {date}.",
@@ -58,6 +61,12 @@ NEGATIVE = [
     "Pour mémoire, le lot {n3} compte {small} pièces de {n3} grammes.", "In this mode, 3 workers handle {n5} rows.", "Monsieur le Président ouvre la séance.", "Madame la Directrice signe.", "The Director signs the note.",
     "en application de l'article {n4} A. Le taux annuel reste fixe.", "selon l'article L. {n3} A. Une part du montant est due.", "de l'article R. {n4} B. En outre, le seuil baisse.", "au titre de l'article {n3} A. Par exception, la part est nulle.",
     "{company} Systems Ltd took over the contract.", "{company} Systems Ltd takes over.", "{company} Group Inc signed.", "Le groupe {company} Industries SAS a signé.", "{company} Services Ltd and {company} Holding SA merged.",
+    "La Direction des {many} {many} et l'Agence {company} publient le barème.", "La Direction des {many} {many} publie le barème.", "Le Service des {many} {many} et la Caisse {company} sont saisis.", "la Commission des {many} {many} et l'Office {company} se réunissent.",
+    "The {many} {many} Board and the {company} Agency publish the table.", "The Office of {many} {many} and the {company} Agency agree.", "le Bureau des {many} {many} répond.",
+    "en application de l'article {n3} bis, même si la période reste ouverte.", "en application de l'article L. {n4} ter, sauf si la dette est due.", "de l'article R. {n3} bis, dès lors que le seuil baisse.", "l'article L. {n4} A. Toutefois, le taux reste fixe.",
+    "en application de l'article {n4} A. Toutefois, une part est due.", "au sens de l'article {n4} B. Cependant, la règle est nulle.", "l'article {n4} C. Néanmoins, le montant est exact.", "the queue {company} drains; a {company} unit, living in memory, waits.",
+    "La société {company} {did}.", "{company} Ltd {diden}.", "L'agence {company} {did}.", "Le Conseil Municipal {did}.", "la Chambre Régionale {did}.", "Toutefois, le service {did}.", "The Board {diden}.", "Le Comité de Bassin {did}.", "Le Conseil {many} et la Chambre {many} {did2}.", "Numéro de lot ({ledger}) inconnu.",
+    "La version ({v}) manque.", "Le Code de Procédure {did2}.", "Article {n4} bis : la taxe est due.",
     "Le compte {amount} euros est clos au {datespace}.", "La commande {n5}-{n4} part de {town} vers {town}.",
 ]
 #: Kinds of the spans, in the order of their tags.
@@ -93,8 +102,10 @@ class _Fill:
             return f"{first} {last.upper()}"
         if style < 0.30:
             return f"{last.upper()} {first}"
-        if style < 0.38:
+        if style < 0.36:
             return f"{first[0]}. {last}"
+        if style < 0.38:
+            return f"{first[0]}.-{r.choice('ACEJLMP')}. {last}"
         if style < 0.46:
             return f"{first} {r.choice('ABCDEFGHIJLMNOPRST')}. {last}"
         if style < 0.56:
@@ -112,8 +123,10 @@ class _Fill:
             return f"{local}@{'.'.join(parts)}"
         if style < 0.8:
             return f"{local} @ {'.'.join(parts)}"
-        if style < 0.9:
+        if style < 0.88:
             return f"{local} {r.choice(['(arobase)', '(at)', '[arobase]', 'arobase'])} {'.'.join(parts)}"
+        if style < 0.93:
+            return f"{local} {r.choice(['AT', '(at)', 'arobase'])} {r.choice([' DOT ', ' (dot) ', ' [point] ']).join(parts)}"
         return f"{local} [at] {' [dot] '.join(parts)}"
 
     def phone(self) -> str:
@@ -149,7 +162,8 @@ class _Fill:
         r = self.r
         months = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
         return {
-            "company": lambda: r.choice(COMPANY) if r.random() < 0.5 else self.invented(), "town": lambda: r.choice(TOWN), "of": lambda: r.choice(OF_FR), "ename": lambda: r.choice(NAME_EN), "estreet": lambda: r.choice(STREET_EN),
+            "did": lambda: r.choice(["a répondu", "est venu", "ne travaille plus ici", "a refusé", "a vendu sa maison", "a signé hier", "est absent", "a été convoqué", "demande un délai", "a écrit deux fois"]),
+            "diden": lambda: r.choice(["asked for time", "replied", "said no", "left early", "works here", "signed yesterday", "was called", "wants a copy", "has moved", "agreed"]), "did2": lambda: r.choice(["est valable", "est perdue", "manque", "suffit"]), "many": lambda: r.choice(PUBLIC) if r.random() < 0.6 else self.invented() + "s", "company": lambda: r.choice(COMPANY) if r.random() < 0.5 else self.invented(), "town": lambda: r.choice(TOWN), "of": lambda: r.choice(OF_FR), "ename": lambda: r.choice(NAME_EN), "estreet": lambda: r.choice(STREET_EN),
             "ledger": lambda: f"{r.randint(100, 899)}-{self.digits(2)}-{self.digits(4)}", "small": lambda: str(r.randint(1, 99)), "year": lambda: str(r.randint(1990, 2029)), "n3": lambda: str(r.randint(100, 999)), "n4": lambda: str(r.randint(1000, 1999)),
             "n5": lambda: self.digits(5), "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(8)), "v": lambda: f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", "date": lambda: f"{r.randint(1, 31)} {r.choice(months)} {r.randint(1990, 2029)}",
             "dateslash": lambda: f"{r.randint(1, 31):02d}/{r.randint(1, 12):02d}/{r.randint(1990, 2029)}", "datespace": lambda: f"{r.randint(1, 31):02d} {r.randint(1, 12):02d} {r.randint(1990, 2029)}",
