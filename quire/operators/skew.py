@@ -16,11 +16,11 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
     return counts.filter(F.col(n) >= F.lit(max(1.0, total * HOT))).select(*keys)
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, n: str, salts: int = SALTS) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, n: str, salts: int = SALTS, by: list[str] | None = None) -> DataFrame:
     """rows joined (inner) with unique, which has each key once. Rows of hot keys are dealt over `salts` tasks, to each of which the one matching row
-    goes; all others join as they are. counts: rows for each key, as keys and n. Null keys match nothing."""
+    goes; all others join as they are. counts: rows for each key, as keys and n; by: columns that tell rows of one key apart, by default all. Null keys match nothing."""
     hot = F.broadcast(hot_keys(counts, keys, n).withColumn("_hot", F.lit(True)))  # at most 200 rows
-    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")).otherwise(0)
+    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in by or rows.columns]), F.lit(salts)).cast("int")).otherwise(0)
     left = rows.join(hot, keys, "left").withColumn("_salt", deal).drop("_hot")
     spread = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     right = unique.join(hot, keys, "left").withColumn("_salt", spread).drop("_hot")
