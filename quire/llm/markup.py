@@ -1,7 +1,8 @@
 """Markup residue: which kinds of marks a text holds, and its clean text with headings, lists, code and formulas kept.
 
 Both come from one stream of events: html.parser's, and those of line scanners for Markdown, MediaWiki and LaTeX. HTML lines are then chosen by their text-to-tag ratio, smoothed by a
-Gaussian and cut at a threshold, so that lines made of tags alone (menus, wrappers) fall away.
+Gaussian and cut between two clusters, so that lines made of tags alone (wrappers) and runs of links (menus) outside of the content fall away. The standard library has no parser of Markdown, wiki
+text or LaTeX: line scanners over the text stand for one.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quire.session import spread
+from quire.sources.tables import one_record
 
 KINDS = ("html", "markdown", "wiki", "latex")
+#: So many lines of links in a row may be a menu.
+MENU = 3
 #: Names of HTML elements (fixed values).
 TAGS = frozenset(
     "a abbr address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed "
@@ -65,7 +69,7 @@ _TEX = {
     "command": re.compile(r"(?<![\w:\\])\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|(?<=[\w.,;)~}])\\[a-zA-Z]+\*?\{"),
     "item": re.compile(r"^\s*\\(?:item|maketitle|tableofcontents|newpage|clearpage|noindent|centering|par|bigskip|medskip|smallskip|hline|appendix)\b", re.M),
     "display": re.compile(r"\\\[[^\n]*|\\\][ \t]*$|\\\((?=[^\n]*\\\))|\$\$[^$]+\$\$", re.M),
-    "math": re.compile(r"(?<![\\\w$])\$(?=[^\s$])([^$\n]{1,160}?)(?<=[^\s\\])\$(?![\w$])"),
+    "math": re.compile(r"(?<![\\\w$])\$(?=[^\s$])([^$\n]+?)(?<=[^\s\\])\$(?![\w$])"),
 }
 
 
@@ -77,6 +81,12 @@ class Events:
     text: str = ""
 
 
+def _is_formula(x: str) -> bool:
+    """Between dollar signs: signs of a formula, and not a sentence; or a name of one or two letters."""
+    words = re.findall(r"(?<![\\\w])[^\W\d_]{4,}(?![\w{])", re.sub(r"\\[a-zA-Z]+\{[^{}]*\}", "", x))
+    return len(words) <= 4 and bool(re.search(r"[\\^_={}]", x)) or bool(re.fullmatch(r"[A-Za-z]{1,2}'?", x))
+
+
 def is_code(content: str) -> bool:
     """Program code as such: most lines look like it, and no fence or tag around says that it is set in a text."""
     lines = [x for x in content.split("\n") if x.strip()]
@@ -105,6 +115,8 @@ class _Html(HTMLParser):
         self.skip: list[tuple[str, tuple[int, int]]] = []  # open tags whose text is left out
         self.never_closed = never_closed
         self.code = 0
+        self.anchor = 0
+        self.linked = np.zeros(lines + 1)
         self.lists: list[list] = []
         self.kept: set[int] = set()
 
@@ -116,6 +128,8 @@ class _Html(HTMLParser):
                     self.out.append((line + k, "\n"))
                 self.out.append((line + k, part))
                 self.letters[min(line + k, len(self.letters) - 1)] += len(part.strip())
+                if self.anchor:
+                    self.linked[min(line + k, len(self.letters) - 1)] += len(part.strip())
 
     def _never_closed(self, tag: str) -> bool:
         here = self.getpos()
@@ -137,6 +151,8 @@ class _Html(HTMLParser):
         if tag in _SKIP:
             if tag != "title" and not self._never_closed(tag):
                 self.skip.append((tag, self.getpos()))
+        elif tag == "a":
+            self.anchor = 1
         elif tag in ("pre", "code"):
             if not self.code and (tag == "pre"):
                 self._keep()
@@ -175,6 +191,8 @@ class _Html(HTMLParser):
             opened = [k for k, (t, _) in enumerate(self.skip) if t == tag]
             if opened:
                 del self.skip[opened[-1] :]
+        elif tag == "a":
+            self.anchor = 0
         elif tag == "pre":
             if self.code:
                 self.code -= 1
@@ -203,13 +221,32 @@ class _Html(HTMLParser):
         self._put(html.unescape(f"&#{name};"))
 
     def result(self) -> str:
-        """The pieces on lines that the smoothed text-to-tag ratio selects, and on those with structure."""
+        """The pieces on lines in content regions, and on those with structure.
+
+        The text-to-tag ratio of the lines, smoothed, falls into two clusters, around centres that settle in turns; a region is content above their middle. Of the lines below it go those with tags and
+        hardly any text, unless they have structure, and runs of MENU lines or more that are links and little else, list items too, most of which lie below."""
         ratio = self.letters / np.maximum(1, self.tags)
         k = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
         padded = np.pad(ratio, 2, mode="edge")
         smooth = np.convolve(padded, k / k.sum(), mode="valid")
-        low = 0.2 * ratio.std()
-        drop = {i for i in range(len(ratio)) if self.tags[i] and smooth[i] < low and self.letters[i] < 12 and i not in self.kept}
+        used = (self.letters > 0) | (self.tags > 0)
+        low, high = (smooth[used].min(), smooth[used].max()) if used.any() else (0.0, 0.0)
+        for _ in range(20):
+            middle = (low + high) / 2
+            below, above = smooth[used & (smooth < middle)], smooth[used & (smooth >= middle)]
+            if not len(below) or not len(above) or (below.mean(), above.mean()) == (low, high):
+                break
+            low, high = below.mean(), above.mean()
+        outside = smooth < (low + high) / 2 if high > 2 * low else np.zeros(len(smooth), bool)
+        drop = {i for i in range(len(ratio)) if self.tags[i] and smooth[i] < 0.2 * ratio.std() and self.letters[i] < 12 and i not in self.kept}
+        run: list[int] = []
+        for i in range(len(ratio) + 1):
+            if i < len(ratio) and self.letters[i] and self.linked[i] >= self.letters[i] - 4:
+                run.append(i)
+            elif i == len(ratio) or self.letters[i]:
+                if len(run) >= MENU and outside[run].mean() > 0.5:
+                    drop.update(range(run[0], run[-1] + 1))
+                run = []
         return "".join(s for i, s in self.out if i not in drop or s == "\n")
 
 
@@ -311,7 +348,7 @@ def read(content: str, known_code: bool = False) -> Events:
         for name, scan in scanners.items():
             m = scan.search(prose if name == "fence" else bare)
             if m and name == "math":
-                m = next((x for x in scan.finditer(bare) if re.search(r"[\\^_={}]", x[1]) or re.fullmatch(r"[A-Za-z]{1,2}'?", x[1])), None)
+                m = next((x for x in scan.finditer(bare) if _is_formula(x[1])), None)
             if m:
                 e.kinds.add(kind)
                 break
@@ -321,12 +358,24 @@ def read(content: str, known_code: bool = False) -> Events:
 
 
 def cleaned(chunks: DataFrame) -> DataFrame:
-    """(id, kinds, text) of chunks (id, content, section_type), one row for each id. A null content is left out; an empty one stays empty; texts without marks stay as they are."""
+    """(id, kinds, text) of chunks (id, content, section_type, loaded_at), one row for each id, from the row loaded first: repeated rows go before anything is parsed. A null content is left out; an
+    empty one stays empty; texts without marks stay as they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [read(c, s == "function") for c, s in zip(b["content"], b["section_type"], strict=True)]
             yield pd.DataFrame({"id": b["id"], "kinds": [sorted(e.kinds) for e in got], "text": [e.text for e in got]})
 
+    one = one_record(spread(chunks), "id", "content", "section_type").filter("content IS NOT NULL")
+    return one.mapInPandas(run, "id bigint, kinds array<string>, text string")
+
+
+def marked(chunks: DataFrame) -> DataFrame:
+    """(id, kinds): the kinds alone, for which rows need not be moved; a repeated row gives a repeated one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "kinds": [sorted(read(c, s == "function").kinds) for c, s in zip(b["content"], b["section_type"], strict=True)]})
+
     known = spread(chunks.filter("id IS NOT NULL AND content IS NOT NULL").select("id", "content", "section_type"))
-    return known.mapInPandas(run, "id bigint, kinds array<string>, text string")
+    return known.mapInPandas(run, "id bigint, kinds array<string>")

@@ -227,26 +227,31 @@ def _candidates(classes: DataFrame, o: Settings) -> DataFrame:
     return pairs.unionByName(more).distinct()
 
 
-#: Bits of the filter that tells which texts take part in a pair: a fixed size, whatever the input.
-FILTER_BITS = 1 << 24
+#: Least and most bits of the filter that tells which texts take part in a pair.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap over hashed ids, 2 MB at most on the driver; other texts may pass it now and then, which costs time but changes nothing."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(h / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    got = words.toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    """A bitmap over hashed ids, of eight bits or more for each up to MOST_BITS, which are 16 MB; other texts may pass it now and then, which costs time but changes nothing."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
+    h = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.floor(h / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    for part in words.toLocalIterator() if n > 1_000_000 else [words.toPandas()]:
+        if isinstance(part, pd.DataFrame):
+            out[part["w"].to_numpy(np.int64)] = part["bits"].to_numpy(np.int64)
+        else:
+            out[part["w"]] = part["bits"]
+    return out.view(np.uint64)
 
 
 def _sets(o: Settings, bitmap):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = bitmap.value
         for b in batches:
-            h = b["h"].to_numpy()
-            b = b[(bits[h // 32] >> (h % 32).astype(np.uint32)) & 1 == 1]
+            h = b["h"].to_numpy().view(np.uint64) % np.uint64(len(bits) * 64)
+            b = b[(bits[h // np.uint64(64)] >> (h % np.uint64(64))) & np.uint64(1) == 1]
             s, lengths = shingles(b["text"].tolist(), o.run, o.least_words)
             at = np.concatenate([[0], np.cumsum(lengths)])
             yield pd.DataFrame({"id": b["id"].to_numpy(), "runs": [np.unique(s[at[i] : at[i + 1]]).view(np.int64) for i in range(len(b))]})
@@ -261,59 +266,78 @@ def _words_at_least(text: Column, n: int) -> Column:
 
 
 def similar_pairs(texts: DataFrame, o: Settings) -> tuple[DataFrame, DataFrame]:
-    """Of texts (id, text), rows with equal id being one text: the pairs (a, b, similarity) of class representatives that reach the similarity, a < b, and the members (id, representative)
-    of every class. A class holds equal texts; its representative is the smallest id. Texts with too few words, null ones included, are in neither. An empty table gives none."""
+    """Of texts (id, text), rows with equal id being one text: the pairs (a, b, similarity) of class representatives that reach the similarity, a < b, and the members (id, representative,
+    copies) of every class. A class holds equal texts, `copies` of them; its representative is the smallest id. Texts with too few words, null ones included, are in neither. An empty table gives none."""
     spark = texts.sparkSession
     known = spread(texts.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "text")).select("id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"))
     signed = known.mapInPandas(_signatures(o), "id bigint, c1 bigint, c2 bigint, bands array<bigint>, point bigint")
     classes = signed.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "bands", "point"), "id").alias("r")).select("r.*")
     candidates = written(_candidates(classes, o))
-    bitmap = spark.sparkContext.broadcast(_filter_of(candidates.select(F.explode(F.array("a", "b")).alias("id"))))  # 2 MB
-    hashed = known.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
-    sets = hashed.mapInPandas(_sets(o, bitmap), "id bigint, runs array<bigint>").dropDuplicates(["id"])
-    left, right = (sets.select(F.col("id").alias(c), F.col("runs").alias(f"runs_{c}")) for c in "ab")
-    both = candidates.join(left, "a").join(right, "b")
+    takes = candidates.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    bitmap = spark.sparkContext.broadcast(_filter_of(takes.select("id")))  # 16 MB at most
+    hashed = known.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MOST_BITS)).alias("h"))
+    sets = written(hashed.mapInPandas(_sets(o, bitmap), "id bigint, runs array<bigint>").dropDuplicates(["id"]))  # both sides of each pair
+    both = candidates
+    for c in "ab":  # a text may be in very many pairs
+        side = sets.select(F.col("id").alias(c), F.col("runs").alias(f"runs_{c}"))
+        both = join_unique(both, side, [c], candidates.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "n", by=["a", "b"])
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     similarity = common / (F.size("runs_a") + F.size("runs_b") - common)
     pairs = both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= o.similarity)
-    long = known.filter(_words_at_least(F.col("text"), max(o.run, o.least_words))).select("id", "c1", "c2").distinct()
-    heads = written(long.groupBy("c1", "c2").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("n")))
-    members = join_unique(long, heads.drop("n"), ["c1", "c2"], heads.select("c1", "c2", "n"), "n").select("id", "representative")
+    long = written(known.filter(_words_at_least(F.col("text"), max(o.run, o.least_words))).select("id", "c1", "c2").distinct())
+    heads = written(long.groupBy("c1", "c2").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies")))
+    members = join_unique(long, heads, ["c1", "c2"], heads.select("c1", "c2", "copies"), "copies").select("id", "representative", "copies")
     return pairs, members
 
 
+#: Members of a class that meet those of another, or of the same, in one task.
+BLOCK = 1024
+
+
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of texts, those of equal ones included."""
-    side = lambda c: members.select(F.col("representative").alias(c), F.col("id").alias(f"id_{c}"))
-    across = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    copies = members.filter("id <> representative").select("representative").distinct()
-    own = members.join(copies, "representative", "left_semi")
-    within = own.withColumnRenamed("id", "id_a").join(own.withColumnRenamed("id", "id_b"), "representative").filter("id_a < id_b").select("id_a", "id_b")
-    return across.unionByName(within).distinct()
+    """(id_a, id_b), id_a < id_b: all pairs of texts, those of equal ones included. Classes of more than BLOCK members are dealt into blocks, and pairs of blocks over the tasks."""
+    blocks = F.ceil(F.col("copies") / BLOCK).cast("int")
+    dealt = members.select("representative", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    side = lambda c: dealt.select(F.col("representative").alias(c), F.col("block").alias(f"block_{c}"), F.col("id").alias(f"id_{c}"))
+    heads = members.filter("id = representative").select("representative", blocks.alias("blocks"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    across = pairs.select("a", "b")
+    for c in "ab":
+        sized = heads.select(F.col("representative").alias(c), "blocks")
+        across = across.join(sized, c).withColumn(f"block_{c}", upto("blocks")).drop("blocks")
+    across = across.join(side("a"), ["a", "block_a"]).join(side("b"), ["b", "block_b"]).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    copied = members.filter("id = representative AND copies > 1").select(F.col("representative").alias("a"), F.col("representative").alias("b"), blocks.alias("blocks"))
+    within = copied.withColumn("block_a", upto("blocks")).withColumn("block_b", F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)))
+    within = within.join(side("a"), ["a", "block_a"]).join(side("b"), ["b", "block_b"]).filter("id_a <> id_b AND (block_a < block_b OR id_a < id_b)")
+    return across.unionByName(within.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
 
 
 def groups(pairs: DataFrame, members: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, group_id, links): for each text that is alike another, the smallest id of its connected group, and to how many other texts of different content it is linked.
 
     Alternating stars: each round, every text's larger neighbours, then its smaller ones, are linked to the smallest id around; rounds end when no link changes, after about the logarithm of
-    the longest chain. Each round's links are written to the shared folder."""
+    the longest chain. Each round's links are written to the shared folder. A text with very many links is dealt over many tasks."""
     links = written(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = links
+    edges, before = links, None
     for _ in range(most_rounds):
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        least = written(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = written(join_unique(around, least.drop("n"), ["u"], least.select("u", "n"), "n", by=["u", "v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        met = join_unique(large, least.drop("n"), ["u"], least.select("u", "n"), "n", by=["u", "v"])
+        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         after = written(small)
-        if edges.count() == after.count() and edges.exceptAll(after).isEmpty():
-            break
+        # a sum of hashes tells sets of links apart
+        state = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         edges = after
+        if state == before:
+            break
+        before = state
     else:
         raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
     heads = edges.groupBy("u").agg(F.min("v").alias("group_id"))
-    degree = links.select(F.explode(F.array("u", "v")).alias("representative"), F.lit(1).alias("x")).groupBy("representative").agg(F.count("x").alias("degree"))
-    copies = members.filter("id <> representative").select("representative").distinct().withColumn("copied", F.lit(True))
-    all_ = members.join(heads.withColumnRenamed("u", "representative"), "representative", "left").join(degree, "representative", "left").join(copies, "representative", "left")
-    alike = all_.filter("degree IS NOT NULL OR copied")
-    return alike.select("id", F.coalesce("group_id", "representative").alias("group_id"), F.coalesce("degree", F.lit(0)).alias("links"))
+    degree = links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    # of each class one row, then its members: a class with very many is dealt over many tasks
+    one = members.filter("id = representative").select(F.col("representative").alias("u"), "copies").join(heads, "u", "left").join(degree, "u", "left").filter("degree IS NOT NULL OR copies > 1")
+    one = written(one.select(F.col("u").alias("representative"), F.coalesce("group_id", "u").alias("group_id"), F.coalesce("degree", F.lit(0)).alias("links"), "copies"))
+    return join_unique(members.select("id", "representative"), one.drop("copies"), ["representative"], one.select("representative", "copies"), "copies", by=["id"]).select("id", "group_id", "links")

@@ -25,12 +25,11 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.cleaned(table(spark, d, "chunks")).select("id", F.explode("kinds").alias("kind"))
-    return found.distinct()
+    return markup.marked(table(spark, d, "chunks")).select("id", F.explode("kinds").alias("kind")).distinct()
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.cleaned(table(spark, d, "chunks")).dropDuplicates(["id"]).select("id", "text")
+    return markup.cleaned(table(spark, d, "chunks")).select("id", "text")
 
 
 def _chunk_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Repair of text from scanned pages: running headers, page numbers, words broken over lines, misread characters.
 
-Three passes over the pages: count the words of the collection; count, for each book, title-like lines that come back at the edges of its pages, however distorted; then repair every page
-with the vocabulary and the lines that come back. The vocabulary sent to the workers is bounded: a word must make up 1 / VOCABULARY of all running words. What a page needs to know of other words
+The pages, each once, are written and read three times: to count the words of the collection; to find, for each book, the lines at the edges of its pages that come back, however distorted, and the numbers
+there that run on from page to page; and to repair every page with what was found. The vocabulary sent to the workers is bounded: a word must make up 1 / VOCABULARY of all running words. What a page needs to know of other words
 is looked up for it by a join with all counts, and the page repaired again, so that the bound decides nothing.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.skew import join_unique
 from quire.session import spread, written
+from quire.sources.tables import one_record
 
 #: At most so many words are sent to the workers.
 VOCABULARY = 500_000
@@ -28,6 +30,10 @@ VOCABULARY = 500_000
 RATIO = 8
 #: A line runs through a book if it is on so many pages.
 REPEATED = 3
+#: So many lines at the head and the foot of a page are its edges.
+EDGE = 2
+#: Longer runs of letters and signs are no words of a text.
+LONGEST_WORD = 64
 #: The halves of a line are cut up to so many characters before and after its middle.
 SHIFT = 2
 #: Marks at the end of a line that may break a word; the last two are never part of one.
@@ -109,6 +115,8 @@ def count_words(pages: DataFrame) -> DataFrame:
 
 def confused(word: str) -> Iterator[list[str]]:
     """The words one confusion away, then those two away."""
+    if len(word) > LONGEST_WORD:
+        return
     seen = {word}
     rim = [word]
     for _ in range(2):
@@ -123,8 +131,6 @@ def confused(word: str) -> Iterator[list[str]]:
                         after.append(x)
                     i = w.find(a, i + 1)
         yield after
-        if len(after) > 400:
-            break
         rim = after
 
 
@@ -162,7 +168,7 @@ class Known:
             return meant(word, self.counts)
         if word in self.told:
             return self.told[word][1]
-        near = next(confused(word))
+        near = next(confused(word), [])
         best = max(near, key=lambda x: self.counts.get(x, 0), default=None)
         if best is None or self.counts.get(best, 0) >= RATIO * self.least:
             return best
@@ -200,17 +206,20 @@ class Repair:
     text: str = ""
 
 
-def _line_parts(lines: list[str], titles: list[str], repeated: set[int], pages: range | None, found: Repair) -> list[str | None]:
-    """The lines of running text; None for lines that were headers or page numbers."""
+def _line_parts(lines: list[str], titles: list[str], repeated: set[int], numbered: set[int], pages: range | None, found: Repair) -> list[str | None]:
+    """The lines of running text; None for lines that were headers, footers or page numbers. repeated: lines that come back in the book; numbered: lines whose number runs on over its pages."""
     out: list[str | None] = []
+    middle = len(lines) / 2
     for i, line in enumerate(lines):
         bare, number = line, False
         if m := _BESIDE.search(line):
             n = int(m[1] or m[2])
-            if pages is None or n in pages:
+            if pages is None or n in pages or i in numbered:
                 bare, number = line[: m.start()] + line[m.end() :], True
-        if title_like(bare) and (i in repeated or any(alike(plain(bare), t) for t in titles)):
-            found.kinds.add("header")
+        titled = title_like(bare)
+        if i in repeated or (titled and any(alike(plain(bare), t) for t in titles)):
+            if titled or i < middle:  # what comes back at the foot goes too, but is no header
+                found.kinds.add("header")
             if number:
                 found.kinds.add("page_number")
             out.append(None)
@@ -220,7 +229,7 @@ def _line_parts(lines: list[str], titles: list[str], repeated: set[int], pages:
                 ok = int(m[1]) in pages if pages is not None else bool(_DECORATED.match(line))
             else:
                 ok = pages is not None and m[1].lower() == m[1] and roman(m[1]) in pages
-            if ok:
+            if ok or i in numbered:
                 found.kinds.add("page_number")
                 out.append(None)
                 continue
@@ -258,10 +267,10 @@ def _broken(left: str, right: str, mark: str, known: Known) -> bool:
     return not (min(own) > 1 and len(left) > 2 and len(right) > 2)
 
 
-def repair(content: str, titles: list[str], repeated: set[int], pages: range | None, known: Known, cache: dict[str, str | None]) -> Repair:
+def repair(content: str, titles: list[str], repeated: set[int], numbered: set[int], pages: range | None, known: Known, cache: dict[str, str | None]) -> Repair:
     found = Repair()
     lines = content.split("\n")
-    body = [x for x in _line_parts(lines, titles, repeated, pages, found) if x is not None]
+    body = [x for x in _line_parts(lines, titles, repeated, numbered, pages, found) if x is not None]
     paragraphs: list[str] = []
     run = ""
     width = max((len(x) for x in body), default=0)
@@ -339,44 +348,88 @@ def _misread(low: str, word: str, known: Known) -> str | None:
 
 
 def _edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Title-like lines by their halves, cut within SHIFT characters of the middle: a distorted character leaves one half as it is, also where it makes the line longer or shorter. Short lines as a whole."""
+    """Of each page the lines that could be headers, footers or page numbers, by what they share with those of other pages.
+
+    Title-like lines, wherever they stand (a text may go over several pages), by their halves, cut within SHIFT characters of the middle: a distorted character leaves one half as it is, also where it makes
+    the line longer or shorter. Other lines at the edges by their halves and as a whole, with the line next to them inside the page. Short lines as a whole. Numbers at the edges by how far they are from
+    the page's own, or where that is unknown, by themselves."""
     for b in batches:
-        rows = []
-        for id_, book, content in zip(b["id"], b["book_id"], b["content"], strict=True):
-            for i, line in enumerate(content.split("\n")):
+        rows: list[tuple] = []
+        for id_, book, start, end, content in zip(b["id"], b["book_id"], b["page_start"], b["page_end"], b["content"], strict=True):
+            lines = content.split("\n")
+            some = [i for i, x in enumerate(lines) if x.strip()]
+            first = start if pd.notna(start) else end
+            for k, i in enumerate(some):
+                line, edge = lines[i], k < EDGE or k >= len(some) - EDGE
                 if title_like(line):
                     p = re.sub(r"^\d+|\d+$", "", plain(line))
                     if len(p) >= 12:
                         for h in range(max(6, len(p) // 2 - SHIFT), len(p) // 2 + SHIFT + 1):
-                            rows += [(id_, book, i, "<" + p[:h]), (id_, book, i, ">" + p[-h:])]
+                            rows += [(id_, book, i, "<" + p[:h], "", id_, 0), (id_, book, i, ">" + p[-h:], "", id_, 0)]
                     else:
-                        rows.append((id_, book, i, "=" + plain(_BESIDE.sub("", line))))  # with its digits: ARTICLE 1 and ARTICLE 2 are two lines
-        yield pd.DataFrame(rows, columns=["id", "book_id", "line", "half"]).astype({"id": "int64", "book_id": "int64", "line": "int32"})
-
-
-def repeated_lines(pages: DataFrame) -> DataFrame:
-    """(id, lines): numbers of the lines that come back on REPEATED pages of their book or more. Pages without book are left out."""
-    lines = pages.filter("book_id IS NOT NULL").select("id", "book_id", "content").mapInPandas(_edge_lines, "id bigint, book_id bigint, line int, half string")
-    counts = lines.groupBy("book_id", "half").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("pages"))
-    often = counts.filter(F.col("pages") >= REPEATED).select("book_id", "half")
-    return join_unique(lines, often, ["book_id", "half"], counts, "n").groupBy("id").agg(F.collect_set("line").alias("lines"))
+                        rows.append((id_, book, i, "=" + plain(_BESIDE.sub("", line)), "", id_, 0))  # with its digits: ARTICLE 1 and ARTICLE 2 are two lines
+                elif edge and len(line) <= 100 and len(some) > 2 * EDGE and sum(c.isalpha() for c in line) >= 8:
+                    p = plain(_BESIDE.sub("", line))
+                    inside = plain(lines[some[k + 1] if k < EDGE else some[k - 1]])
+                    h = len(p) // 2
+                    where = "h" if k < EDGE else "f"
+                    rows += [(id_, book, i, where + x, p, zlib.crc32(inside.encode()), 0) for x in ("<" + p[:h], ">" + p[-h:])]
+                if edge and (m := _NUMBER.match(line) or _BESIDE.search(line)):
+                    n = next((x for x in m.groups() if x), "")
+                    value = int(n) if n.isdigit() else roman(n) if n == n.lower() else 0
+                    if value and pd.isna(first):
+                        rows.append((id_, book, i, "v", "", 0, value))
+                    elif value:
+                        rows.append((id_, book, i, "o", "", 0, value - int(first)))
+        yield pd.DataFrame(rows, columns=["id", "book_id", "line", "half", "whole", "near", "number"]).astype({"id": "int64", "book_id": "int64", "line": "int32", "near": "int64", "number": "int64"})
+
+
+def edge_marks(pages: DataFrame) -> DataFrame:
+    """(id, lines, numbered): the lines of each page that come back on REPEATED pages of their book or more (those not title-like only where most of what shares a half with them is the same line, beside as many
+    different texts), and those with a number that runs on: as far from the page's own as half of the book's numbers are, or among its neighbours. Pages without book are left out; each page is one row."""
+    cols = "id bigint, book_id bigint, line int, half string, whole string, near bigint, number bigint"
+    marks = written(pages.filter("book_id IS NOT NULL").select("id", "book_id", "page_start", "page_end", "content").mapInPandas(_edge_lines, cols))
+    lines = marks.filter("half NOT IN ('o', 'v')")
+    same = lines.groupBy("book_id", "half", "whole").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("near").alias("near"))
+    counts = written(same.groupBy("book_id", "half").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("near").alias("near")))
+    often = counts.filter((F.col("near") >= REPEATED) & (2 * F.col("most") >= F.col("n"))).select("book_id", "half")
+    back = join_unique(lines.select("id", "book_id", "half", "line"), often, ["book_id", "half"], counts, "n").select("id", "line", F.lit(False).alias("number"))
+    numbers = marks.filter("half IN ('o', 'v')").select("id", "book_id", "half", "number", "line")
+    at = written(numbers.groupBy("book_id", "half", "number").agg(F.count(F.lit(1)).alias("n")))
+    votes = at.filter("half = 'v'").select("book_id", "half", F.explode(F.array(*[F.col("number") + d for d in (-2, -1, 1, 2)])).alias("number"))
+    runs = votes.groupBy("book_id", "half", "number").agg(F.count(F.lit(1)).alias("beside"))
+    known = at.join(runs, ["book_id", "half", "number"], "left")
+    holds = F.when(F.col("half") == "o", F.col("n") >= REPEATED).otherwise(F.coalesce("beside", F.lit(0)) >= 2)
+    share = at.filter("half = 'v' OR number <> 0").groupBy("book_id", "half").agg(F.sum("n").alias("all"))
+    one = known.filter(holds & ((F.col("half") == "v") | (F.col("number") != 0))).join(share, ["book_id", "half"])
+    by_book = one.filter("half = 'v'").groupBy("book_id", "half").agg(F.sum("n").alias("held"))
+    runs_on = one.join(by_book, ["book_id", "half"], "left").filter(2 * F.when(F.col("half") == "o", F.col("n")).otherwise(F.col("held")) >= F.col("all")).select("book_id", "half", "number")
+    numbered = join_unique(numbers, runs_on, ["book_id", "half", "number"], at, "n").select("id", "line", F.lit(True).alias("number"))
+    each = back.unionByName(numbered).groupBy("id")
+    return each.agg(F.collect_set(F.when(~F.col("number"), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("number"), F.col("line"))).alias("numbered"))
 
 
 def repaired(chunks: DataFrame) -> DataFrame:
-    """(id, book_id, page_start, page_end, kinds, text) of the chunks that are scanned pages (section_type `page`, whatever its case), one row for each id. Null contents are left out; an empty one
-    gives an empty text. Without page numbers, a printed one is known only by the signs around it; without titles, headers only by their repetition."""
+    """(id, book_id, page_start, page_end, kinds, text) of the chunks that are scanned pages (section_type `page`, whatever its case), one row for each id, from the row loaded first. Null contents are left out; an empty one
+    gives an empty text. Without page columns, a printed number is known by its run over the book's pages or by the signs around it; without titles, headers only by their repetition."""
     spark = chunks.sparkSession
     cols = ["id", "book_id", "book_title", "chapter_title", "page_start", "page_end", "content"]
-    pages = chunks.filter("lower(trim(section_type)) = 'page' AND content IS NOT NULL AND id IS NOT NULL").select(*cols)
-    pages = spread(pages)
+    pages = chunks.filter("lower(trim(section_type)) = 'page' AND content IS NOT NULL AND id IS NOT NULL")
+    pages = written(spread(one_record(pages, "id", *cols[1:])))
     words = written(count_words(pages))  # read twice or more
     total = words.agg(F.sum("n").alias("t")).first()["t"] or 0
     least = max(2, total / VOCABULARY)
     words = words.filter("n >= 2")
     frequent = words.filter(F.col("n") >= least).toPandas()  # at most VOCABULARY words
     counts = dict(zip(frequent["word"].tolist(), frequent["n"].tolist(), strict=True))
-    bad = {w: x for w in counts if (x := meant(w, counts)) is not None}
-    shared = spark.sparkContext.broadcast((counts, bad))
+    vocabulary = spark.sparkContext.broadcast(counts)
+
+    def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(w, x) for w in b["word"] if (x := meant(w, vocabulary.value)) is not None], columns=["word", "right"])
+
+    wrong = words.filter(F.col("n") >= least).select("word").repartition(spark.sparkContext.defaultParallelism).mapInPandas(misread, "word string, right string").toPandas()
+    shared = spark.sparkContext.broadcast((counts, dict(zip(wrong["word"].tolist(), wrong["right"].tolist(), strict=True))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Known(*shared.value, least)
@@ -390,14 +443,15 @@ def repaired(chunks: DataFrame) -> DataFrame:
                 titles = [plain(t) for t in (r.book_title, r.chapter_title) if t]
                 known.asks = set()
                 known.told = {w: (int(n), x or None) for n, w, x in (t.split(" ") for t in r.told)} if r.told is not None else {}
-                done = repair(r.content, titles, set(r.lines) if r.lines is not None else set(), pages, known, cache)
+                held = [set(x) if x is not None else set() for x in (r.lines, r.numbered)]
+                done = repair(r.content, titles, *held, pages, known, cache)
                 asks.append(sorted(known.asks))
                 kinds.append(sorted(done.kinds))
                 texts.append("" if known.asks else done.text)
             yield pd.DataFrame({"id": b["id"], "book_id": b["book_id"], "page_start": b["page_start"], "page_end": b["page_end"], "kinds": kinds, "text": texts, "asks": asks})
 
     schema = "id bigint, book_id bigint, page_start int, page_end int, kinds array<string>, text string, asks array<string>"
-    marked = pages.dropDuplicates(["id"]).join(repeated_lines(pages), "id", "left")
+    marked = pages.join(edge_marks(pages), "id", "left")
     if least <= 2:  # the workers know all words
         return marked.withColumn("told", F.lit(None).cast("array<string>")).mapInPandas(run, schema).drop("asks")
     marked = written(marked)

@@ -57,7 +57,9 @@ def brute(data, o):
 @pytest.mark.parametrize("shard", [4096, 8])
 def test_pairs_by_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(near_duplicates, "SHARD", shard)  # 8: shards go through cells
-    o = near_duplicates.Settings(run=3, similarity=0.6, least_words=20, bands=60, rows=3)
+    from quire.llm.queries import CHUNK_PAIRS as o
+
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2)  # classes are dealt in blocks
     data = [*corpus(4), (900, None), (901, ""), (902, "short text"), (903, corpus(4)[0][1].upper() + " !"), (904, corpus(4)[0][1]), (904, corpus(4)[0][1]), (None, "x " * 40)]
     df = spark.createDataFrame(data, "id bigint, text string")
     pairs, members = near_duplicates.similar_pairs(df, o)
@@ -176,7 +178,7 @@ def test_mixing(spark):
         ("A <b>bold</b> word", {"html"}), ("caf&eacute; &#8217;", {"html"}), ("<!-- note --> x", {"html"}), ("<UL><LI>one<LI>two</UL>", {"html"}), ("# Head\ntext", {"markdown"}), ("a **bold** b", {"markdown"}), ("a __bold two__ b", {"markdown"}),
         ("an *em two* c", {"markdown"}), ("[t](u/v.md#1)", {"markdown"}), ("~~~\ncode\n~~~", {"markdown"}), ("|---|:---:|\n| 1 | 2 |", {"markdown"}), ("Head\n====", {"markdown"}), ("use `f_x` now", {"markdown"}), ("> quoted text", {"markdown"}),
         ("see [[application de]] it", {"wiki"}), ("== H ==", {"wiki"}), ("{{t|an=2019|x}}", {"wiki"}), ("'''b''' and ''i''", {"wiki"}), ('{| class="wikitable"\n|-\n| a || b\n|}', {"wiki"}), ("__TOC__", {"wiki"}), ("** deep item", {"wiki"}),
-        ("\\section*{A}", {"latex"}), ("it is \\emph{so}", {"latex"}), ("with $x_{1} = a^2$.", {"latex"}), ("\\[ \\frac{a}{2} \\]", {"latex"}), ("~\\cite{k2000}.", {"latex"}), ("so \\( n \\to 3 \\).", {"latex"}), ("\\begin{itemize}\n\\item a\n\\end{itemize}", {"latex"}),
+        ("with $" + " + ".join(f"x_{{{i}}}^2" for i in range(60)) + "$ in it", {"latex"}), ("from $25 for a_b and what follows it in prose with many other words, then 30 US$ more", set()), ("\\section*{A}", {"latex"}), ("it is \\emph{so}", {"latex"}), ("with $x_{1} = a^2$.", {"latex"}), ("\\[ \\frac{a}{2} \\]", {"latex"}), ("~\\cite{k2000}.", {"latex"}), ("so \\( n \\to 3 \\).", {"latex"}), ("\\begin{itemize}\n\\item a\n\\end{itemize}", {"latex"}),
         ("Si a < b et b > c, alors", set()), ("from $25 to $40 for", set()), ("note [12] et le n° #58.", set()), ("2 * 3 * 11 suffit", set()), ("R&D et x & associés", set()), ("un_v2_final est en C#", set()), ("C:\\sapan\\lar conservé", set()),
         ("x|y puis {y}", set()), ("a <> b", set()), ("Barème * hors x, note 3", set()), ("", set()), ("plain text", set()),
         ("def f(x, **kw):\n    # note\n    y = [[1, 2], [x, 3]]\n    x.__init__(2 ** 3)\n    return x_y * 2", set()),
@@ -202,6 +204,16 @@ def test_text_after_a_tag_that_is_never_closed(tag):
     assert markup.read("<head><style>a</style><script>b<p>c</p>").text.split() == ["b", "c"]
 
 
+def test_menus_fall_away():
+    menu = lambda *x: "\n".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(x))
+    words = "Le bureau applique la contribution principale du registre rural et la taxe du fonds. " * 6
+    html = f"<ul>\n{menu('Accueil du site', 'Nos publications', 'Le tribunal rural', 'Espace adhérents', 'Plan du site', 'Nous écrire ici')}\n</ul>\n<h2>Le bail</h2>\n<p>{words}</p>\n<ul>\n<li>le registre</li>\n<li>la taxe <a href='x'>rurale</a></li>\n</ul>\n<p>{words}</p>\n"
+    html += "\n".join(f"<a href='/{i}'>{t}</a>" for i, t in enumerate(("Mentions légales du site", "Données personnelles", "Accessibilité du site", "Marchés publics", "Recrutement ici", "Presse et médias")))
+    text = markup.read(html).text
+    assert text.startswith("## Le bail") and text.endswith("taxe du fonds.") and "- le registre" in text and "- la taxe rurale" in text and "site" not in text
+    assert markup.read(menu("un lien", "deux liens")).text.split("\n\n") == ["- un lien", "- deux liens"]  # nothing but links: nothing to choose from
+
+
 def test_cleaned_rows(spark):
     df = spark.createDataFrame([(1, "a **b c** d", None, 5), (2, None, None, 5), (3, "", None, 5), (None, "<b>x</b>", None, 5), (4, "# x", "function", 5)], "id bigint, content string, section_type string, kinds int")
     assert {r.id: (r.kinds, r.text) for r in markup.cleaned(df).collect()} == {1: (["markdown"], "a b c d"), 3: ([], ""), 4: ([], "# x")}
@@ -269,6 +281,42 @@ def test_repeated_lines_longer_or_shorter_on_distinct_pages(spark):
     assert got == {i: ["header"] if i < 20 else [] for i in got} and len(got) == 11
 
 
+PAGES = "id bigint, book_id bigint, book_title string, chapter_title string, page_start int, page_end int, section_type string, content string"
+FIGURES = "un deux trois quatre cinq six sept huit neuf dix onze douze".split()
+
+
+def inner(i):
+    return f"le bureau {FIGURES[i]} applique\nla contribution {FIGURES[i]} du registre\net la taxe {FIGURES[-i - 1]} du fonds\npuis le bail {FIGURES[i]} rural"
+
+
+def test_numbers_that_run_on(spark):
+    none = dict(book_title=None, chapter_title=None)
+    rows = [page(i, f"{inner(i)}\n{20 + i}", page_start=8 + i, page_end=8 + i, **none) for i in range(6)]  # printed with an offset of 12
+    rows += [page(10 + i, f"{30 + i}\n{inner(i)}", page_start=None, page_end=None, book_id=2, **none) for i in range(6)]  # no page known
+    rows += [page(20 + i, f"{inner(i)}\n{n}", page_start=None, page_end=None, book_id=3, **none) for i, n in enumerate((3, 77, 150, 1200, 41, 900))]  # no run
+    rows += [page(30 + i, f"{inner(i)}\n{n}", page_start=i + 1, page_end=i + 1, book_id=4, **none) for i, n in enumerate((30, 77, 150, 1200, 41, 900))]
+    got = {r.id: (r.kinds, r.text) for r in scanned_pages.repaired(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: ["page_number"] if i < 20 else [] for i in got} and len(got) == 24
+    assert got[0][1] == got[10][1] == inner(0).replace("\n", " ")
+
+
+def test_heads_and_feet_in_any_case(spark):
+    none = dict(book_title=None, chapter_title=None)
+    rows = [page(i, f"{'le bail rural de 1a commune' if i == 2 else 'Le bail rural de la commune'}\n{inner(i)}\nédition du greffe de Lyon", **none) for i in range(6)]
+    rows += [page(10 + i, f"le bureau applique la taxe du {x}\n{inner(i)}", book_id=2, **none) for i, x in enumerate(["fonds", "registre", "cadastre", "bailleur", "notaire", "tribunal"])]  # lines of text that begin alike
+    rows += [page(20 + i, f"La taxe mixte du fonds rural\n{inner(1)}", book_id=3, **none) for i in range(4)]  # copies of one page
+    got = {r.id: (r.kinds, r.text) for r in scanned_pages.repaired(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: ["header"] if i < 10 else [] for i in got}
+    assert got[3][1] == inner(3).replace("\n", " ") and got[12][1].startswith("le bureau applique la taxe du cadastre")
+
+
+def test_long_words_are_searched_whole():
+    word = "li1" * 20  # more than 400 words are one confusion away
+    other = word.replace("1", "l", 1)[::-1].replace("1", "l", 1)[::-1]
+    assert sum(1 for some in scanned_pages.confused(word) for x in some if x == other) == 1 and scanned_pages.meant(word, {other: 100}) == other
+    assert list(scanned_pages.confused("1" * 100_000)) == []
+
+
 def test_roman():
     assert [scanned_pages.roman(x) for x in ("i", "iv", "ix", "xiv", "xli", "xcix")] == [1, 4, 9, 14, 41, 99]
 
