@@ -7,12 +7,22 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators import graph, search
+from quire.operators import graph, index, search
 
 #: Columns that full text covers.
 COLUMNS = ["chunk_id", "content", "book_title", "chapter_title"]
 
 
+def number(value: object, default: float) -> float:
+    """As whole_number, for numbers of any kind."""
+    if isinstance(value, bool) or value is None:
+        return default
+    try:
+        return float(str(value))
+    except ValueError:
+        return default
+
+
 def whole_number(value: object, default: int) -> int:
     """A parameter as callers give it: numbers and numerals; anything else, truth values too, is the default."""
     if isinstance(value, bool) or value is None:
@@ -39,6 +49,8 @@ class Search:
     freshness: float = 0.0
     centrality: float = 0.0
     now: str = ""
+    most: int = 150
+    gone: DataFrame | None = None
 
     def text(self, query: str) -> Search:
         return replace(self, query=query, kind="text")
@@ -62,19 +74,41 @@ class Search:
     def rerank(self, freshness: float, centrality: float, now: str) -> Search:
         return replace(self, freshness=freshness, centrality=centrality, now=now)
 
+    def without(self, gone: DataFrame) -> Search:
+        """Leaves out what is known to be gone: (corpus, filepath) of deleted files (see sync.freshness)."""
+        return replace(self, gone=gone)
+
+    def context(self, subject: str, vector: list[float] | None = None) -> Search:
+        """What a caller wants to read on a subject: by text, or by text and vector where there is one."""
+        return self.text(subject) if vector is None or self.vectors is None else self.hybrid(subject, vector)
+
+    def expand(self, book: str, n: int = 5) -> DataFrame:
+        """Of one book the best passages for the query, or where none matches its first in reading order: (chunk_id, book_slug, score)."""
+        hits = self.of(book=book).scored().orderBy(F.desc("score"), "chunk_id").limit(n)
+        if not hits.isEmpty():
+            return hits
+        own = self.chunks.filter(F.col("book_slug") == book).dropDuplicates(["chunk_id"])
+        return own.orderBy(F.col("page_start").asc_nulls_last(), F.col("paragraph").asc_nulls_last(), "chunk_id").limit(n).select("chunk_id", "book_slug", F.lit(0.0).alias("score"))
+
     def scored(self) -> DataFrame:
         """(chunk_id, book_slug, score) of all hits."""
         keep = ["book_slug", "corpus", "tags"]
         found = None
         if self.kind != "semantic" or self.vectors is None:
-            found = search.bm25(self.chunks, "chunk_id", COLUMNS, self.query, keep, self.where)
+            found = index.search(self.chunks, "chunk_id", COLUMNS, self.query, keep, self.where, "loaded_at" if "loaded_at" in self.chunks.columns else None)
         if self.kind == "hybrid" and self.vectors is not None:
-            info = found.select("chunk_id", "book_slug")
-            found = search.hybrid(found, self.vectors, "chunk_id", list(self.query_vector)).join(info, "chunk_id")
+            info = self.chunks.select("chunk_id", "book_slug").dropDuplicates(["chunk_id"])
+            own = self.vectors if self.where is None else self.vectors.join(self.chunks.filter(self.where).select("chunk_id").distinct(), "chunk_id", "left_semi")
+            scored = search.hybrid(found, own, "chunk_id", list(self.query_vector), self.most)
+            found = info.join(F.broadcast(scored), "chunk_id")  # `most` rows
         elif found is None:
             own = self.chunks.select("chunk_id", *keep).dropDuplicates(["chunk_id"])
             v = self.vectors.select("chunk_id", search.dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in self.query_vector])).alias("score"))
             found = (own if self.where is None else own.filter(self.where)).join(v, "chunk_id")
+        if self.gone is not None:
+            files = self.gone.select("corpus", F.col("filepath").alias("book_file")).distinct()
+            alive = self.chunks.select("chunk_id", "corpus", "book_file").join(files, ["corpus", "book_file"], "left_anti").select("chunk_id").distinct()
+            found = found.join(alive, "chunk_id", "left_semi")
         return found.select("chunk_id", "book_slug", "score")
 
     def results(self, k: int = 10, per_source: bool = True, fetch: int = 5) -> DataFrame:
@@ -99,8 +133,33 @@ class Search:
         return r.select("rank", F.concat(F.coalesce("book_file", "book_slug"), place, F.coalesce(F.concat(F.lit(" | "), "chapter_title"), F.lit("")), more).alias("line"))
 
 
-def embed_missing(chunks: DataFrame, vectors: DataFrame, embed=search.embedded) -> DataFrame:
-    """(chunk_id, vector) for chunks without a vector yet; embed takes (id, text)."""
-    todo = chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"]).join(vectors.select("chunk_id"), "chunk_id", "left_anti")
-    numbered = todo.select(F.xxhash64("chunk_id").alias("id"), F.col("content").alias("text"), "chunk_id")
-    return embed(numbered).join(numbered.select("id", "chunk_id"), "id").select("chunk_id", "vector")
+class Projects:
+    """Several libraries, each under the path of its project. A name is the last part of a path; one that two projects share must be said as a path."""
+
+    def __init__(self, by_path: dict[str, Search]) -> None:
+        self.by_path = {p.rstrip("/"): s for p, s in by_path.items()}
+
+    def find(self, name: str) -> Search:
+        name = (name or "").strip().rstrip("/")
+        if not name:
+            raise LookupError("no project named")
+        if "/" in name:
+            if name not in self.by_path:
+                raise LookupError(f"no index under {name!r}")
+            return self.by_path[name]
+        same = sorted(p for p in self.by_path if p.rsplit("/", 1)[-1] == name)
+        if not same:
+            raise LookupError(f"no project {name!r}; there are {', '.join(sorted(self.by_path)) or 'none'}")
+        if len(same) > 1:
+            raise LookupError(f"{len(same)} projects are called {name!r}: {', '.join(same)}")
+        return self.by_path[same[0]]
+
+
+def as_dicts(results: DataFrame) -> list[dict]:
+    """Results, which are few, as plain values."""
+    return [r.asDict(recursive=True) for r in results.collect()]
+
+
+def as_markdown(results: DataFrame) -> DataFrame:
+    """(rank, line): results (rank, book_slug, content) as a section each."""
+    return results.select("rank", F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), "book_slug", F.lit("\n\n"), F.coalesce("content", F.lit(""))).alias("line"))

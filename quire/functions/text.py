@@ -94,14 +94,14 @@ def _short_end(w: str) -> bool:
 
 
 #: Endings of steps 2 to 4 of Porter's algorithm (fixed values).
-_STEP2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble", logi="log")
-_STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+STEP2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble", logi="log")
+STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
 def porter_stem(w: str) -> str:
-    """Porter's stemmer, for lower-case words; shorter ones than three letters, and those with other than a to z, stay as they are."""
-    if len(w) < 3 or not w.isascii() or not w.isalpha():
+    """Porter's stemmer, for lower-case words; other signs than a to z count as consonants. Words of fewer than 3 bytes or more than 64 stay as they are."""
+    if not 3 <= len(w.encode()) <= 64:
         return w
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
@@ -125,13 +125,13 @@ def porter_stem(w: str) -> str:
             w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
+    for table in (STEP2, STEP3):
         for end in sorted(table, key=len, reverse=True):
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + table[end]
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in sorted(STEP4, key=len, reverse=True):
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem[-1:] in ("s", "t")):

@@ -75,10 +75,12 @@ def glob_pattern(pattern: str) -> str:
 
 
 def matching_glob(name: Column, pattern: str) -> Column:
-    """`.ext` is an ending without regard to case; a pattern with a slash matches the whole path, one without matches the last component."""
+    """`.ext` is an ending without regard to case; a pattern with a slash matches the whole path or what follows some folder of it, one without matches the last component."""
     if pattern.startswith(".") and not any(c in pattern for c in "*?["):
         return F.endswith(F.lower(name), F.lit(pattern.lower()))
-    return (name if "/" in pattern else F.element_at(F.split(name, "/"), -1)).rlike(glob_pattern(pattern))
+    if "/" in pattern:
+        return name.rlike(glob_pattern(pattern)) | name.rlike(glob_pattern(f"*/{pattern}"))
+    return F.element_at(F.split(name, "/"), -1).rlike(glob_pattern(pattern))
 
 
 def owning_root(files: DataFrame, roots: DataFrame) -> DataFrame:
@@ -99,9 +101,11 @@ def resolve_path(wanted: DataFrame, books: DataFrame, roots: DataFrame) -> DataF
 
 
 def file_versions(snapshots: DataFrame, keep: int = 50) -> DataFrame:
-    """snapshots (book_slug, created_at, content_hash) numbered by time within the book, of which the newest `keep` remain."""
-    up, down = Window.partitionBy("book_slug").orderBy("created_at", "content_hash"), Window.partitionBy("book_slug").orderBy(F.desc("created_at"), F.desc("content_hash"))
-    return snapshots.withColumn("version_num", F.row_number().over(up)).withColumn("_age", F.row_number().over(down)).filter(F.col("_age") <= keep).drop("_age")
+    """snapshots (book_slug, created_at, content_hash) numbered by time within the book, of which the newest `keep` remain. Each task keeps a book's newest before they meet; its number is counted."""
+    down = Window.partitionBy("book_slug").orderBy(F.desc("created_at"), F.desc("content_hash"))
+    new = snapshots.withColumn("_age", F.row_number().over(down)).filter(F.col("_age") <= keep)
+    n = snapshots.groupBy("book_slug").agg(F.count(F.lit(1)).alias("_n"))
+    return new.join(n, "book_slug").withColumn("version_num", F.col("_n") - F.col("_age") + 1).drop("_age", "_n")
 
 
 def cards_valid(cards: DataFrame, natures: list[str]) -> DataFrame:

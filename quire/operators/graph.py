@@ -14,12 +14,15 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst_slug").alias("slug")).agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-def neighbours(edges: DataFrame, books: DataFrame) -> DataFrame:
-    """(slug, direction, relation_type, neighbour, title): every book's edges in both directions. Of books only two columns join."""
+def neighbours(edges: DataFrame, books: DataFrame, direction: str | None = None, relation: str | None = None) -> DataFrame:
+    """(slug, direction, relation_type, neighbour, title): every book's edges in both directions, or in one (`in`, `out`), of all kinds or of one. Of books only two columns join."""
+    if relation is not None:
+        edges = edges.filter(F.col("relation_type") == relation)
     out = edges.select(F.col("src_slug").alias("slug"), F.lit("out").alias("direction"), "relation_type", F.col("dst_slug").alias("neighbour"))
     into = edges.select(F.col("dst_slug").alias("slug"), F.lit("in").alias("direction"), "relation_type", F.col("src_slug").alias("neighbour"))
     titles = books.select(F.col("slug").alias("neighbour"), "title")
-    return out.unionByName(into).join(titles, "neighbour", "left").select("slug", "direction", "relation_type", "neighbour", "title")
+    both = {"out": out, "in": into}.get(direction, out.unionByName(into))
+    return both.join(titles, "neighbour", "left").select("slug", "direction", "relation_type", "neighbour", "title")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -52,11 +55,15 @@ def resolve_links(candidates: DataFrame, books: DataFrame) -> DataFrame:
     tried = candidates.filter("relation_type <> 'wikilink'").select("*", F.posexplode(paths).alias("choice", "filename"))
     direct = tried.join(b, ["corpus", "filename"]).select("src_slug", "relation_type", "target_ref", "dst_slug", F.col("choice").alias("far"), F.length("filename").alias("long"))
     stem = F.lower(F.regexp_replace(F.element_at(F.split("filename", "/"), -1), r"\.[^.]*$", ""))
-    wiki = candidates.filter("relation_type = 'wikilink'").withColumn("stem", F.lower(F.element_at(F.split("target_ref", "/"), -1)))
+    wiki = candidates.filter("relation_type = 'wikilink'").withColumn("stem", F.lower(F.regexp_replace(F.element_at(F.split("target_ref", "/"), -1), r"\.md$", "")))
     folder = lambda p: F.filter(F.split(F.regexp_extract(p, r"^(.*)/[^/]*$", 1), "/"), lambda x: x != "")
     a, z = folder(F.col("src_path")), folder(F.col("filename"))
-    common = F.size(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: (i < F.size(a)) & F.slice(a, 1, i + 1).eqNullSafe(F.slice(z, 1, i + 1))))
-    named = wiki.join(b.withColumn("stem", stem), ["corpus", "stem"]).select("src_slug", "relation_type", "target_ref", "dst_slug", (F.size(a) + F.size(z) - 2 * common).alias("far"), F.length("filename").alias("long"))
+    common = F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0))), lambda i: (i < F.size(a)) & F.slice(a, 1, i + 1).eqNullSafe(F.slice(z, 1, i + 1))))
+    # `folder/Note` must end so; a bare name may lie anywhere
+    without = F.lower(F.regexp_replace("filename", r"\.[^./]*$", ""))
+    tail = F.lower(F.regexp_replace("target_ref", r"^(?:\.?/)+|\.md$", ""))
+    fits = ~F.contains("target_ref", F.lit("/")) | (without == tail) | F.endswith(without, F.concat(F.lit("/"), tail))
+    named = wiki.join(b.withColumn("stem", stem), ["corpus", "stem"]).filter(fits).select("src_slug", "relation_type", "target_ref", "dst_slug", (F.size(a) + F.size(z) - 2 * common).alias("far"), F.length("filename").alias("long"))
     w = Window.partitionBy("src_slug", "relation_type", "target_ref").orderBy("far", "long", "dst_slug")
     best = direct.unionByName(named).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1 AND src_slug <> dst_slug")
     return best.select("src_slug", "dst_slug", "relation_type", F.col("target_ref").alias("source_detail")).distinct()

@@ -23,25 +23,29 @@ def snapshot_diff(indexed: DataFrame, disk: DataFrame, failures: DataFrame | Non
     if failures is not None:
         f = failures.select(*KEY, F.col("file_hash").alias("new_hash"), F.lit(True).alias("failed")).dropDuplicates([*KEY, "new_hash"])
         j = j.join(f, [*KEY, "new_hash"], "left").withColumn("change", F.when(F.col("failed") & F.col("change").isin("added", "modified"), "known_failure").otherwise(F.col("change"))).drop("failed")
-    j = written(j)  # read by each of the branches below
-    same = j.filter("change NOT IN ('added', 'removed')").select("change", *KEY, F.coalesce("new_hash", "old_hash").alias("file_hash"), F.lit(None).cast("string").alias("from_corpus"), F.lit(None).cast("string").alias("from_path"))
-    number = lambda df, by: df.withColumn("no", F.row_number().over(Window.partitionBy(*by).orderBy(*KEY)))
-    gone, new = (j.filter(F.col("change") == c).select(*KEY, F.coalesce("new_hash", "old_hash").alias("file_hash")) for c in ("removed", "added"))
-
-    def pair(gone: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
-        a = number(gone.filter("file_hash IS NOT NULL"), by).select(F.col("corpus").alias("from_corpus"), F.col("filepath").alias("from_path"), "file_hash", "no", *[F.col(c).alias(f"by_{c}") for c in by if c != "file_hash"])
-        b = number(new.filter("file_hash IS NOT NULL"), by).withColumns({f"by_{c}": F.col(c) for c in by if c != "file_hash"})
-        return a.join(b, ["file_hash", "no", *[f"by_{c}" for c in by if c != "file_hash"]]).select("corpus", "filepath", "file_hash", "from_corpus", "from_path")
-
-    near = pair(gone, new, ["file_hash", "corpus"])
-    left_gone = gone.join(near.select(F.col("from_corpus").alias("corpus"), F.col("from_path").alias("filepath")), KEY, "left_anti")
-    left_new = new.join(near.select(*KEY), KEY, "left_anti")
-    far = pair(left_gone, left_new, ["file_hash"])
-    last_gone = left_gone.join(far.select(F.col("from_corpus").alias("corpus"), F.col("from_path").alias("filepath")), KEY, "left_anti")
-    last_new = left_new.join(far.select(*KEY), KEY, "left_anti")
-    flat = lambda df, c: df.select(F.lit(c).alias("change"), *KEY, "file_hash", F.lit(None).cast("string").alias("from_corpus"), F.lit(None).cast("string").alias("from_path"))
-    moved = lambda df, c: df.select(F.lit(c).alias("change"), *KEY, "file_hash", "from_corpus", "from_path")
-    return same.unionByName(moved(near, "moved")).unionByName(moved(far, "cross_moved")).unionByName(flat(last_gone, "removed")).unionByName(flat(last_new, "added"))
+    j = written(j)  # read by the branches below
+    none = F.lit(None).cast("string")
+    same = j.filter("change NOT IN ('added', 'removed')").select("change", *KEY, F.coalesce("new_hash", "old_hash").alias("file_hash"), none.alias("from_corpus"), none.alias("from_path"))
+    # what was neither added nor removed takes no part in what follows
+    ends = j.filter("change IN ('added', 'removed')").select("change", *KEY, F.coalesce("new_hash", "old_hash").alias("file_hash"))
+
+    def paired(df: DataFrame, by: list[str]) -> DataFrame:
+        """Rows (change, ...) with `no`, their number among those of the same hash and change; one of each change with the same number is a pair."""
+        return df.withColumn("no", F.row_number().over(Window.partitionBy("change", *by).orderBy(*KEY)))
+
+    def matched(df: DataFrame, by: list[str], move: str) -> tuple[DataFrame, DataFrame]:
+        """Moves, and the rows that are in none: one shuffle by hash and number, no join."""
+        known = paired(df.filter("file_hash IS NOT NULL"), by)
+        place = F.struct(*KEY)
+        both = known.groupBy(*by, "no").agg(F.max(F.when(F.col("change") == "removed", place)).alias("old"), F.max(F.when(F.col("change") == "added", place)).alias("new"))
+        pairs = both.filter("old IS NOT NULL AND new IS NOT NULL").select(F.lit(move).alias("change"), "new.corpus", "new.filepath", "file_hash", F.col("old.corpus").alias("from_corpus"), F.col("old.filepath").alias("from_path"))
+        single = both.filter("old IS NULL OR new IS NULL").select(F.when(F.col("new").isNull(), "removed").otherwise("added").alias("change"), F.coalesce("new", "old").alias("k"), "file_hash")
+        return pairs, single.select("change", "k.corpus", "k.filepath", "file_hash")
+
+    near, rest = matched(ends, ["file_hash", "corpus"], "moved")
+    far, left = matched(rest, ["file_hash"], "cross_moved")
+    left = left.unionByName(ends.filter("file_hash IS NULL")).select("change", *KEY, "file_hash", none.alias("from_corpus"), none.alias("from_path"))
+    return same.unionByName(near).unionByName(far).unionByName(left)
 
 
 def quick_diff(indexed: DataFrame, disk: DataFrame) -> DataFrame:

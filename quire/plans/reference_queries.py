@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import audit, catalog, graph, history, jobs, search, sync
+from quire.operators import audit, catalog, graph, history, index, jobs, search, sync
 from quire.plans import data_queries
-from quire.sources.tables import table
+from quire.plans.stem_sql import stems
+from quire.sources.tables import one_record, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,12 +36,13 @@ def _long(c: str | F.Column) -> F.Column:
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Chunks, each id once; only the columns asked for are read and shuffled."""
-    return table(spark, d, "chunks").select("id", *[c for c in columns if c != "id"]).dropDuplicates(["id"])
+    """Chunks, each id once, from the row loaded first; only the columns asked for are read and shuffled."""
+    return one_record(table(spark, d, "chunks"), "id", *[c for c in columns if c != "id"])
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "books").dropDuplicates(["id"])
+    t = table(spark, d, "books")
+    return one_record(t, "id", *[c for c in t.columns if c != "id"], at="added_at")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -60,41 +62,71 @@ def _tok(c: str) -> str:
 
 # ---- search ------------------------------------------------------------------------------------------------------------------------------------------
 
-_BM25_DOCS = f"""
-tk AS (SELECT doc_id, {_TOKENS_T} AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tk),
-tf AS (SELECT doc_id, len(t) AS dl, w, len(list_filter(t, lambda x: x = w)) AS tf, m FROM tk, (VALUES ('abattement', 2), ('daemon', 1), ('fiscale', 1)) AS q(w, m)),
-df AS (SELECT w, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY w),
-sc AS (SELECT doc_id, sum(m * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS s
-       FROM tf JOIN df USING (w), st GROUP BY doc_id HAVING max(tf) > 0)"""
+def _bm25(rows: str, keys: str, words: dict[str, int], rest: str) -> str:
+    """Scores `sc` (keys, s) by stemmed words, each counting so many times, over `tk` (keys, t: array of terms)."""
+    asked = ", ".join(f"('{w}', {m})" for w, m in words.items())
+    return f"""WITH {rows},
+st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tk), x AS (SELECT * FROM (VALUES {asked}) AS v(word, m)),
+words AS (SELECT DISTINCT unnest(t) AS w FROM tk UNION SELECT word FROM x), {stems("words")},
+q AS (SELECT word, m, list(other.w) AS ws FROM x JOIN stems own ON own.w = word JOIN stems other ON other.s = own.s GROUP BY word, m),
+tf AS (SELECT {keys}, len(t) AS dl, word, m, len(list_filter(t, lambda y: list_contains(ws, y))) AS tf FROM tk, q),
+df AS (SELECT word, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY word),
+sc AS (SELECT {keys}, sum(m * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS s
+       FROM tf JOIN df USING (word), st GROUP BY ALL HAVING max(tf) > 0)
+{rest}"""
+
+
+def _document_bm25(words: dict[str, int], rest: str) -> str:
+    return _bm25(f"tk AS (SELECT doc_id, {_TOKENS_T} AS t FROM documents)", "doc_id", words, rest)
+
+
+_TOP_DOCUMENTS = "SELECT doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM sc ORDER BY s DESC, doc_id LIMIT 20"
+
 
+def _documents(spark: SparkSession, d: str, words: str) -> DataFrame:
+    return index.search(table(spark, d, "documents"), "doc_id", ["text"], words)
 
-@query(f"WITH {_BM25_DOCS} SELECT doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM sc ORDER BY s DESC, doc_id LIMIT 20")
+
+@query(_document_bm25({"abattement": 2, "daemon": 1, "fiscale": 1}, _TOP_DOCUMENTS))
 def fts_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """A repeated word counts twice."""
-    found = search.bm25(table(spark, d, "documents"), "doc_id", ["text"], "abattement daemon fiscale abattement")
-    return search.ranked(found, "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
+    """A repeated word counts twice; words are stemmed."""
+    return search.ranked(_documents(spark, d, "abattement daemon fiscale abattement"), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
+
+
+@query(_document_bm25({"running": 1, "declarations": 1, "conditionally": 1}, _TOP_DOCUMENTS))
+def fts_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Words that stand in the texts in other forms only."""
+    return search.ranked(_documents(spark, d, "running declarations conditionally"), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
+
+
+@query(
+    f"""WITH tk AS (SELECT doc_id, {_TOKENS_T} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tk), words AS (SELECT DISTINCT unnest(t) AS w FROM tk UNION SELECT unnest(['non', 'resident'])), {stems("words")},
+one AS (SELECT list(x.w) AS ws FROM stems x JOIN stems y ON y.s = x.s AND y.w = 'non'), two AS (SELECT list(x.w) AS vs FROM stems x JOIN stems y ON y.s = x.s AND y.w = 'resident'),
+tf AS (SELECT doc_id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: list_contains(ws, t[i]) AND list_contains(vs, t[i + 1]))) AS tf FROM tk, one, two),
+df AS (SELECT count(*) AS df FROM tf WHERE tf > 0), sc AS (SELECT doc_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM tf, df, st WHERE tf > 0)
+{_TOP_DOCUMENTS}"""
+)
+def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A word with punctuation inside is a phrase of its parts, by the positions in the index."""
+    return search.ranked(_documents(spark, d, "non-résidents"), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
 
 
 def _chunk_bm25(words: list[str], rest: str) -> str:
     fields = ", ".join(f"{_tok(c)} AS t{i}" for i, c in enumerate(("chunk_id", "content", "book_title", "chapter_title")))
-    values = ", ".join(f"('{w}')" for w in words)
-    return f"""WITH {_C},
-tk AS (SELECT id, corpus, book_slug, tags, list_concat(t0, list_concat(t1, list_concat(t2, t3))) AS t FROM (SELECT id, corpus, book_slug, tags, {fields} FROM c)),
-st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tk),
-tf AS (SELECT id, corpus, book_slug, tags, len(t) AS dl, w, len(list_filter(t, lambda x: x = w)) AS tf FROM tk, (VALUES {values}) AS q(w)),
-df AS (SELECT w, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY w),
-sc AS (SELECT id, corpus, book_slug, tags, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS s
-       FROM tf JOIN df USING (w), st GROUP BY ALL HAVING max(tf) > 0)
-{rest}"""
+    rows = f"{_C}, tk AS (SELECT id, corpus, book_slug, tags, list_concat(t0, list_concat(t1, list_concat(t2, t3))) AS t FROM (SELECT id, corpus, book_slug, tags, {fields} FROM c))"
+    return _bm25(rows, "id, corpus, book_slug, tags", dict.fromkeys(words, 1), rest)
 
 
 _COLUMNS = ["chunk_id", "content", "book_title", "chapter_title"]
 _TOP = "SELECT id, round(s, 6) AS score FROM sc WHERE {where} ORDER BY s DESC, id LIMIT {k}"
 
 
+def _chunk_hits(spark: SparkSession, d: str, words: str, keep: list[str] | None = None, where: F.Column | None = None, most: int | None = None) -> DataFrame:
+    return index.search(table(spark, d, "chunks"), "id", _COLUMNS, words, keep, where, at="loaded_at", most=most)
+
+
 def _chunk_search(spark: SparkSession, d: str, words: str, where: F.Column | None, k: int, keep: tuple[str, ...] = ("corpus", "book_slug", "tags")) -> DataFrame:
-    return search.bm25(table(spark, d, "chunks"), "id", _COLUMNS, words, list(keep), where).orderBy(F.desc("score"), "id").limit(k)
+    return _chunk_hits(spark, d, words, list(keep), where, k).orderBy(F.desc("score"), "id").limit(k)
 
 
 @query(_chunk_bm25(["hypotheque", "rurale"], _TOP.format(where="corpus IN ('juris', 'doctrine')", k=30)))
@@ -148,25 +180,39 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), _long("rank").alias("rank"))
 
 
-@query(f"SELECT v.vec_id AS id, round({_DOT}, 6) AS score FROM (SELECT embedding FROM embeddings WHERE vec_id = 0) q, embeddings v WHERE label IN (0, 1) ORDER BY {_DOT} DESC, id LIMIT 15")
+@query(
+    f"""SELECT query_id, id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DOT} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT}, 12) DESC, v.vec_id) AS rank
+FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.label IN (0, 1)) WHERE rank <= 15"""
+)
 def semantic_label_filter(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()["embedding"]
-    score = search.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q]))
-    return v.filter(F.col("label").isin(0, 1)).select(F.col("vec_id").alias("id"), score.alias("s")).orderBy(F.desc("s"), "id").limit(15).select("id", F.round("s", 6).alias("score"))
+    """The filter comes before the limit."""
+    t = table(spark, d, "embeddings")
+    v = t.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = search.nearest(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v.filter(t["label"].isin(0, 1)), 15)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(
-    f"""WITH {_BM25_DOCS}, cand AS (SELECT * FROM sc ORDER BY s DESC, doc_id LIMIT 60), q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
-h AS (SELECT doc_id, 0.3 * s / (SELECT max(s) FROM cand) + 0.7 * coalesce({_DOT}, 0) AS x FROM cand LEFT JOIN embeddings v ON v.vec_id = doc_id, q)
-SELECT doc_id, round(x, 6) AS score FROM h ORDER BY x DESC, doc_id LIMIT 20"""
+    _document_bm25(
+        {"abattement": 2, "daemon": 1, "fiscale": 1},
+        f""", cand AS (SELECT * FROM sc ORDER BY s DESC, doc_id LIMIT 60), asked AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+h AS (SELECT doc_id, 0.3 * s / (SELECT max(s) FROM cand) + 0.7 * coalesce({_DOT.replace("q.", "asked.")}, 0) AS x FROM cand LEFT JOIN embeddings v ON v.vec_id = doc_id, asked)
+SELECT doc_id, round(x, 6) AS score FROM h ORDER BY x DESC, doc_id LIMIT 20""",
+    )
 )
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Three times as many text candidates as results; without a vector the cosine is 0."""
-    cand = search.bm25(table(spark, d, "documents"), "doc_id", ["text"], "abattement abattement daemon fiscale").orderBy(F.desc("score"), "doc_id").limit(60)
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = v.filter("doc_id = 0").first()["vector"]
-    return search.hybrid(cand, v, "doc_id", q).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.hybrid(_documents(spark, d, "abattement abattement daemon fiscale"), v, "doc_id", q, 60).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT v.vec_id AS doc_id, round({_DOT}, 6) AS score FROM (SELECT embedding FROM embeddings WHERE vec_id = 0) q, embeddings v ORDER BY {_DOT} DESC, doc_id LIMIT 60")
+def hybrid_without_text(spark: SparkSession, d: str) -> DataFrame:
+    """No text candidate: the nearest vectors stand in."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = v.filter("doc_id = 0").first()["vector"]
+    return search.hybrid(_documents(spark, d, "xyzzyplugh"), v, "doc_id", q, 60).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -194,7 +240,7 @@ SELECT r.book_slug, id, round(s, 6) AS score, sections, coalesce(array_to_string
     )
 )
 def dedup_best_per_source(spark: SparkSession, d: str) -> DataFrame:
-    found = search.bm25(table(spark, d, "chunks"), "id", _COLUMNS, "tribunal", ["book_slug"])
+    found = _chunk_hits(spark, d, "tribunal", ["book_slug"])
     best = search.best_per_source(found, "book_slug", "id")
     return best.select("book_slug", "id", F.round("score", 6).alias("score"), _long("sections").alias("sections"), F.array_join("others", ",").alias("others"))
 
@@ -207,9 +253,9 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     return search.sections(_chunks(spark, d, "chunk_id", "book_slug", "page_start", "paragraph", "chapter_title", "corpus"))
 
 
-@query(_ORDERED + " SELECT chunk_id, position, total, next_section FROM s WHERE corpus = 'docs-produit'")
+@query(_ORDERED + " SELECT chunk_id, position, total, next_section FROM s")
 def expand_section(spark: SparkSession, d: str) -> DataFrame:
-    return _sections(spark, d).filter("corpus = 'docs-produit'").select("chunk_id", _long("position").alias("position"), _long("total").alias("total"), "next_section")
+    return _sections(spark, d).select("chunk_id", _long("position").alias("position"), _long("total").alias("total"), "next_section")
 
 
 @query(_ORDERED + " SELECT book_slug, chunk_id, position FROM s WHERE position BETWEEN 3 AND 5")
@@ -236,8 +282,8 @@ SELECT id, CAST(used AS BIGINT) AS used FROM u WHERE used <= 8000""",
 )
 def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
     """The best results whose texts fit into 8,000 characters."""
-    sized = table(spark, d, "chunks").withColumn("chars", F.length("content"))
-    top = search.bm25(sized, "id", _COLUMNS, "cadastre registre", ["chars"]).orderBy(F.desc("score"), "id").limit(30)
+    few = F.broadcast(_chunk_search(spark, d, "cadastre registre", None, 30, ()))  # 30 rows
+    top = few.join(one_record(table(spark, d, "chunks").join(few.select("id"), "id", "left_semi"), "id", "content"), "id").withColumn("chars", F.length("content"))
     return search.within_budget(top.withColumn("neg", -F.col("score")), ["neg", "id"], F.col("chars"), 8000).select("id", _long("used").alias("used"))
 
 
@@ -261,7 +307,7 @@ def search_at_date(spark: SparkSession, d: str) -> DataFrame:
     """Only chunks with a version valid on a day; the semi-join comes before the limit."""
     day = F.lit("2015-06-30").cast("date")
     valid = table(spark, d, "article_versions").filter((F.col("date_debut") <= day) & (F.col("date_fin").isNull() | (F.col("date_fin") >= day))).select(F.col("chunk_id").alias("id"))
-    found = search.bm25(table(spark, d, "chunks"), "id", _COLUMNS, "bail")
+    found = _chunk_hits(spark, d, "bail")
     return found.join(valid, "id", "left_semi").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
@@ -452,7 +498,8 @@ _V = "v AS (SELECT * FROM article_versions QUALIFY row_number() OVER (PARTITION
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "article_versions").dropDuplicates(["id"])
+    t = table(spark, d, "article_versions")
+    return one_record(t, "id", *[c for c in t.columns if c not in ("id", "loaded_at")])
 
 
 @query(f"WITH {_V} SELECT article_ref, count(*) AS versions, min(date_debut) AS first_start, max(date_debut) AS last_start FROM v GROUP BY 1")
@@ -558,9 +605,12 @@ def freshness_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT filepath, corpus, arg_max(file_hash, (indexed_at, file_hash)) AS file_hash, max(indexed_at) AS indexed_at FROM indexed_files GROUP BY filepath, corpus")
 def upsert_latest_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as they came before the middle of 2024 are the state, later ones upserts."""
     f = table(spark, d, "indexed_files")
     best = F.max_by("file_hash", F.struct("indexed_at", "file_hash"))
-    return f.groupBy("filepath", "corpus").agg(best.alias("file_hash"), F.max("indexed_at").alias("indexed_at"))
+    one = lambda df: df.groupBy("filepath", "corpus").agg(best.alias("file_hash"), F.max("indexed_at").alias("indexed_at"))
+    late = F.coalesce(F.col("indexed_at") >= F.lit("2024-07-01").cast("timestamp"), F.lit(False))
+    return catalog.upsert(one(f.filter(~late)), one(f.filter(late)), ["filepath", "corpus"]).select("filepath", "corpus", "file_hash", "indexed_at")
 
 
 @query(

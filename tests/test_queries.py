@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import quire.plans.data_queries as data
+import quire.plans.library_queries as library
 import quire.plans.reference_queries as reference
 
 from .conftest import DATA
 
-QUERIES = {**data.QUERIES, **reference.QUERIES}
-SQL = {**data.SQL, **reference.SQL}
+QUERIES = {**data.QUERIES, **reference.QUERIES, **library.QUERIES}
+SQL = {**data.SQL, **reference.SQL, **library.SQL}
 
 
 @pytest.fixture(scope="module")
