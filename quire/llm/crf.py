@@ -82,19 +82,26 @@ class Crf:
         return self
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags of each sentence, over a batch padded to one length."""
+        """Best tags of each sentence, over a batch padded to one length. Sentences lie along the last axis, so that each step is a few operations on whole rows."""
         n, t, k = scores.shape
-        best = scores[:, 0] + self.first
-        back = np.zeros((n, t, k), np.int8)
+        s = np.ascontiguousarray(scores.transpose(1, 2, 0))
+        step = self.step[:, :, None]
+        best = s[0] + self.first[:, None]
+        back = np.zeros((t, k, n), np.int8)
+        short = int(lengths.min()) if n else 0
         for i in range(1, t):
-            x = best[:, :, None] + self.step
-            back[:, i] = x.argmax(axis=1)
-            best = np.where((i < lengths)[:, None], x.max(axis=1) + scores[:, i], best)
+            most, arg = best[0] + step[0], back[i]
+            for a in range(1, k):
+                x = best[a] + step[a]
+                np.copyto(arg, a, where=x > most)
+                np.maximum(most, x, out=most)
+            most += s[i]
+            best = most if i < short else np.where(i < lengths, most, best)
         out = np.zeros((n, t), np.int8)
-        now = (best + self.last).argmax(axis=1)
+        now = (best + self.last[:, None]).argmax(axis=0)
         who = np.arange(n)
         for i in range(t - 1, -1, -1):
             inside = i < lengths
             out[inside, i] = now[inside]
-            now = np.where(inside & (i > 0), back[who, i, now], now)
+            now = np.where(inside & (i > 0), back[i, now, who], now)
         return out

@@ -40,10 +40,30 @@ _GROUPS = [(re.compile(x), g) for x, g in ((r"\n+", "line"), (r"\s+", "space"),
 LONGEST, OVERLAP, TOGETHER = 192, 40, 1_000_000
 
 
+#: What every way to write the at sign holds.
+_SIGNS = ("@", "arobase", "(at)", "[at]", "{at}", "AT")
+
+
+def _ats(text: str) -> list[re.Match[str]]:
+    """Where AT matches: signs are looked for as such, which is faster than the pattern."""
+    out: list[re.Match[str]] = []
+    places = []
+    for sign in _SIGNS:
+        i = text.find(sign)
+        while i >= 0:
+            places.append(i)
+            i = text.find(sign, i + 1)
+    for i in sorted(places):
+        m = next((m for a in range(max(0, i - 2), i + 1) if (m := AT.match(text, a)) and m.end() > i), None)
+        if m and (not out or m.start() >= out[-1].end()):
+            out.append(m)
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Where addresses stand, however their signs are written."""
     out: list[tuple[int, int]] = []
-    for m in AT.finditer(text):
+    for m in _ats(text):
         a = m.start()
         while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
             a -= 1

@@ -391,9 +391,10 @@ def test_sentences_written_by_hand():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="aZé9 .@-'’(\n\u00a0_&\u0301|A", max_size=60))
+@given(st.text(alphabet="aZé9 .@-'’(\n\u00a0_&\u0301|AT()t", max_size=60))
 def test_tokens_cover_a_text(text):
     toks, own = pii.cut(text)
+    assert [m.span() for m in pii._ats(text)] == [m.span() for m in pii.AT.finditer(text)]
     assert "".join(toks) == text and all("." in toks[j] or " " in toks[j] for j in own)
 
 
