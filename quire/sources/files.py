@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from quire.operators.catalog import glob_pattern, matching_glob
 
 #: Folders and endings that are never wanted (fixed values).
-EXCLUDED_DIRS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", ".idea")
+EXCLUDED_DIRS = (".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_modules", ".tox", "dist", "build", ".egg-info", ".eggs", ".mypy_cache", ".pytest_cache", ".ruff_cache", "db", ".cache", ".codegraph", ".idea", ".quire")
+EXCLUDED_PATHS = (".claude/worktrees",)
 EXCLUDED_ENDINGS = ("-wal", "-shm", "-journal")
-#: What a file is by its ending (fixed values).
+#: What a file is by its ending; others are `other`.
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".rs": "rust", ".go": "go", ".java": "java", ".c": "c", ".cpp": "c++", ".rb": "ruby", ".sh": "shell", ".sql": "sql", ".kt": "kotlin", ".scala": "scala", ".php": "php"}
 CATEGORIES = {".md": "docs", ".tex": "docs", ".pdf": "docs", ".docx": "docs", ".html": "docs", ".txt": "docs", ".json": "data", ".csv": "data", ".xlsx": "data", ".db": "data", ".yaml": "config", ".yml": "config", ".toml": "config", ".cfg": "config"}
 
@@ -59,6 +60,30 @@ def sections(text: str) -> dict[str, list[str]]:
     return out
 
 
+def history_is_wanted(path: str, text: str) -> bool:
+    """Whether versions of a file are kept: its root's ignore file does not name it in [versions]."""
+    return not ignored(path, [Rule("", p) for p in sections(text)["versions"]])
+
+
+#: What a source's scan does if it says nothing.
+DEFAULTS = {"recursive": True, "honor_ignore": True}
+
+
+def scan_payloads(sources: Sequence[dict]) -> list[dict]:
+    """Configured sources as payloads of scan jobs: what is as it is by default is left out, lists are sorted, and equal payloads are one, so that jobs deduplicate."""
+    out: dict[str, dict] = {}
+    for s in sources:
+        p = {k: sorted(v) if isinstance(v, list | tuple) else v for k, v in sorted(s.items()) if v not in (None, "", [], ()) and DEFAULTS.get(k) != v}
+        out.setdefault(repr(p), p)
+    return list(out.values())
+
+
+def memory_sources(listed: DataFrame) -> DataFrame:
+    """listed (project, path, real_path) of folders of notes to (corpus, root_path): one corpus for each project; of links to one folder the first by path counts."""
+    one = listed.groupBy("real_path").agg(F.min(F.struct("path", "project")).alias("r"))
+    return one.select(F.concat(F.lit("memory-"), "r.project").alias("corpus"), F.col("r.path").alias("root_path"))
+
+
 def _component(p: str) -> str:
     out = ""
     for part in re.split(r"(\*\*/|/\*\*|\*|\?|\[[^\]]*\])", p):
@@ -90,7 +115,7 @@ def ignored(path: str, rules: Sequence[Rule]) -> bool:
 
 
 def excluded(path: Column) -> Column:
-    folders = "|".join(map(re.escape, EXCLUDED_DIRS))
+    folders = "|".join(map(re.escape, EXCLUDED_DIRS + EXCLUDED_PATHS))
     return path.rlike(rf"(?:^|/)(?:{folders})/") | path.rlike("(?:" + "|".join(map(re.escape, EXCLUDED_ENDINGS)) + ")$")
 
 

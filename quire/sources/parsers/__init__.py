@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,10 +47,21 @@ def real_format(content: bytes) -> str:
     return "binary" if b"\0" in head else "text"
 
 
+#: Parsers that a program has registered: (what tells by path and content whether it is for a file, parser). The last one registered is asked first; none is ever loaded from a project's own files.
+REGISTERED: list[tuple[Callable[[str, bytes], bool], Callable[[str, bytes], Parsed]]] = []
+
+
+def register(parser: Callable[[str, bytes], Parsed], endings: tuple[str, ...] = (), matches: Callable[[str, bytes], bool] | None = None) -> None:
+    """A parser for endings, or for whatever `matches`, which goes before the endings. The last registration of an ending wins. To be called on the workers too, such as at the import of a module."""
+    if matches is not None:
+        REGISTERED.insert(0, (matches, parser))
+    BY_ENDING.update(dict.fromkeys(endings, parser))
+
+
 def parse(path: str, content: bytes) -> Parsed:
     """One file. Empty ones have no passages; a binary file that no parser claims is skipped; what cannot be read raises Unreadable."""
     ending = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    parser = BY_ENDING.get(ending)
+    parser = next((p for m, p in REGISTERED if m(path, content)), None) or BY_ENDING.get(ending)
     if parser is None:
         if real_format(content) == "binary":
             return Parsed(skipped="binary")

@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from quire.sources.parsers import markup
+from quire.sources.parsers import markup, pages
 from quire.sources.parsers.model import Parsed, Passage, Unreadable, merged, paragraphs, stem
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -151,7 +151,7 @@ def midi(path: str, content: bytes) -> Parsed:
     at += 14
     p = Parsed(title=stem(path))
     facts, tempos = [], []
-    while at + 8 <= len(content) and len(p.passages) < 4096:
+    while at + 8 <= len(content):
         size = struct.unpack(">I", content[at + 4 : at + 8])[0]
         if content[at : at + 4] == b"MTrk":
             words, lyrics, notes, own_tempos = _track(content[at + 8 : at + 8 + size])
@@ -209,13 +209,77 @@ def _track(data: bytes) -> tuple[list[str], str, list[int], list[float]]:
     return words, lyrics, notes, tempos
 
 
+#: Frames of ID3 and the fields they hold, in the order of the text (fixed values); Vorbis comments have the fields' names.
+ID3 = {
+    "TIT2": "title", "TPE1": "artist", "TPE2": "albumartist", "TALB": "album", "TCOM": "composer", "TPE3": "conductor", "TEXT": "lyricist", "TPE4": "arranger", "TCON": "genre", "TDRC": "date", "TYER": "date",
+    "TDOR": "originaldate", "TRCK": "tracknumber", "TPOS": "discnumber", "TPUB": "organization", "TCOP": "copyright", "TLAN": "language", "TBPM": "bpm", "TSRC": "isrc", "USLT": "lyrics", "COMM": "comment",
+}
+
+
+def _comments(block: bytes) -> dict[str, str]:
+    """Of a block of Vorbis comments; values of a field that is repeated stand side by side."""
+    out: dict[str, list[str]] = {}
+    try:
+        at = 4 + struct.unpack("<I", block[:4])[0]
+        n = struct.unpack("<I", block[at : at + 4])[0]
+        at += 4
+        for _ in range(n):
+            size = struct.unpack("<I", block[at : at + 4])[0]
+            key, eq, value = block[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+            if eq and value.strip():
+                out.setdefault(key.lower(), []).append(value.strip())
+            at += 4 + size
+    except struct.error:
+        pass  # cut short
+    return {k: " / ".join(dict.fromkeys(v)) for k, v in out.items()}
+
+
+def _vorbis(content: bytes) -> tuple[dict[str, str], list[str]]:
+    """Fields of FLAC and Ogg files, and what their headers say of the sound."""
+    if content[:4] == b"fLaC":
+        tags, facts, at, last = {}, [], 4, False
+        while not last and at + 4 <= len(content):
+            last, kind, size = bool(content[at] & 128), content[at] & 127, int.from_bytes(content[at + 1 : at + 4], "big")
+            body = content[at + 4 : at + 4 + size]
+            if kind == 0 and len(body) >= 18:
+                bits = int.from_bytes(body[10:18], "big")
+                rate, channels, depth, samples = bits >> 44, (bits >> 41 & 7) + 1, (bits >> 36 & 31) + 1, bits & (1 << 36) - 1
+                facts = [f"format: {rate / 1000:g} kHz, {depth}-bit, {channels} channels" + (f", {samples / rate:.0f} s" if rate and samples else "")]
+            elif kind == 4:
+                tags = _comments(body)
+            at += 4 + size
+        return tags, facts
+    # Ogg: packets run over pages; the comment packet is the second one
+    packets, part, at = [], b"", content.find(b"OggS")
+    while 0 <= at and at + 27 <= len(content) and len(packets) < 2:
+        sizes = content[at + 27 : at + 27 + content[at + 26]]
+        body = at + 27 + len(sizes)
+        for n in sizes:
+            part += content[body : body + n]
+            body += n
+            if n < 255:
+                packets.append(part)
+                part = b""
+        at = content.find(b"OggS", body)
+    head = packets[0] if packets else b""
+    facts = []
+    if head[1:7] == b"vorbis" and len(head) >= 16:
+        facts = [f"format: {struct.unpack('<I', head[12:16])[0] / 1000:g} kHz, {head[11]} channels"]
+    for p in packets[1:2]:
+        mark = 7 if p[1:7] == b"vorbis" else 8 if p[:8] == b"OpusTags" else None
+        if mark:
+            return _comments(p[mark:]), facts
+    return {}, facts
+
+
 def audio(path: str, content: bytes) -> Parsed:
     """Tags of ID3v2 or Vorbis comments; lyrics are a passage of their own."""
     tags: dict[str, str] = {}
+    facts: list[str] = []
     if content[:3] == b"ID3" and len(content) > 10:
         size = sum((b & 127) << s for b, s in zip(content[6:10], (21, 14, 7, 0), strict=True))
         at = 10
-        names = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TDRC": "date", "TYER": "date", "TRCK": "track", "TCON": "genre", "TCOM": "composer", "USLT": "lyrics", "COMM": "comment"}
+        names = ID3
         while at + 10 <= min(len(content), 10 + size) and content[at : at + 4].strip(b"\0"):
             n = int.from_bytes(content[at + 4 : at + 8], "big") if content[3] < 4 else sum((b & 127) << s for b, s in zip(content[at + 4 : at + 8], (21, 14, 7, 0), strict=True))
             body = content[at + 10 : at + 10 + n]
@@ -226,23 +290,25 @@ def audio(path: str, content: bytes) -> Parsed:
                 tags.setdefault(names[frame], text.split("\0")[-1 if frame in ("USLT", "COMM") else 0].strip("\0\ufeff "))
             at += 10 + n
     else:
-        for m in re.finditer(rb"(?i)(title|artist|album|date|tracknumber|genre|composer|comment|lyrics)=([^\x00-\x08\x0e-\x1f]{1,20000})", content[: 1 << 20]):
-            tags.setdefault(m[1].decode().lower(), m[2].decode("utf-8", "replace").strip())
+        tags, facts = _vorbis(content)
     p = Parsed(title=tags.get("title") or stem(path))
     lyrics = tags.pop("lyrics", "")
-    if tags:
-        p.passages.append(Passage("\n".join(f"{k}: {v}" for k, v in tags.items()), None, None, 1, None, 1, metadata={"kind": "tags"}))
+    lines = [f"{k}: {tags[k]}" for k in dict.fromkeys([*ID3.values(), *tags]) if k in tags] + facts
+    if lines:
+        p.passages.append(Passage("\n".join(lines), None, None, 1, None, 1, metadata={"kind": "tags"}))
     if lyrics.strip():
         p.passages.append(Passage(lyrics, "lyrics", None, 1, None, 2, metadata={"kind": "lyrics"}))
     return p
 
 
-#: Readers registered by ending: (content) -> texts of the pages. PDF, DJVU and MOBI need one, as Python has none.
-READERS: dict[str, Callable[[bytes], list[str]]] = {}
+#: Readers by ending: (content) -> texts of the pages. Better ones, such as for scanned pages, may be registered in their place.
+READERS: dict[str, Callable[[bytes], list[str]]] = {
+    ".pdf": pages.pdf, ".mobi": pages.mobi, ".azw": pages.mobi, ".azw3": pages.mobi, ".djvu": pages.djvu, ".djv": pages.djvu,
+}
 
 
 def outside(path: str, content: bytes) -> Parsed:
-    """By a registered reader; blank pages keep their number."""
+    """By the reader of its ending; blank pages keep their number (those of DJVU have none)."""
     ending = "." + path.rsplit(".", 1)[-1].lower()
     if ending not in READERS:
         raise Unreadable(f"no reader for {ending}")

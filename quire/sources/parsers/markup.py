@@ -13,11 +13,11 @@ ARTICLE = re.compile(r"\barticles?\s+((?:[LRDA]\*?\.?\s?)?\d+(?:[-.]\d+)*(?:\s(?
 
 
 def article_ref(code: str | None, number: str | None) -> str | None:
-    """A stable name of an article: its code and number in capitals, joined by hyphens; null without number."""
-    if not number or not number.strip():
+    """A stable name of an article: its code in capitals and its number as it is written, without signs, blanks as hyphens; null without number."""
+    code, number = ("-".join(re.sub(r"[^\w\s]", "", x or "").split()) for x in (code, number))
+    if not number:
         return None
-    clean = re.sub(r"[^A-Z0-9]+", "-", f"{code or ''} {number}".upper()).strip("-")
-    return clean or None
+    return f"{code.upper()}-{number}" if code else number
 
 
 def _words(e: ET.Element | None) -> str:

@@ -21,7 +21,7 @@ def markdown(path: str, content: bytes) -> Parsed:
     s = decoded(content)
     p = Parsed(title=stem(path))
     meta = {}
-    if m := re.match(r"---\n(.*?)\n---\s*(?:\n|$)", s[:2000], re.S):
+    if m := re.match(r"---\n(.*?)\n---\s*(?:\n|$)", s, re.S):
         meta = dict(x.split(":", 1) for x in m[1].split("\n") if ":" in x and not x.startswith((" ", "-", "#")))
         meta = {k.strip(): v.strip().strip("'\"") for k, v in meta.items()}
         p.title = meta.get("title") or p.title
@@ -47,9 +47,9 @@ def latex(path: str, content: bytes) -> Parsed:
     """Sections at sectioning commands; the preamble counts from 200 characters on; includes and citations are references."""
     s = re.sub(r"(?<!\\)%[^\n]*", "", decoded(content))
     p = Parsed(title=stem(path))
-    if m := re.search(r"\\title\*?\{([^{}]*)\}", s[:5000]):
+    if m := re.search(r"\\title\*?\{([^{}]*)\}", s):
         p.title = m[1].strip() or p.title
-    author = re.search(r"\\author\{([^{}]*)\}", s[:5000])
+    author = re.search(r"\\author\{([^{}]*)\}", s)
     heading = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section)\*?(?:\[[^\]]*\])?\{(?P<title>[^{}]*)\}")
     for n, (title, at, body) in enumerate(_sections(s, heading)):
         own = body.strip()

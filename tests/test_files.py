@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import sqlite3
+import struct
 import zipfile
 
 import pytest
@@ -77,7 +78,7 @@ def test_document_parsers():
     assert texts("x.epub", epub) == ["A paragraph of some length."] and parsers.parse("x.epub", epub).passages[0].metadata == {"source_status": "incomplete"}
     legal = "<CODE><META><TITRE>CGI</TITRE></META><SECTION_TA><TITRE_TA>Livre I</TITRE_TA><ARTICLE><NUM>39 bis</NUM><DATE_DEBUT>2020-01-01</DATE_DEBUT><DATE_FIN/><CONTENU><p>Texte.</p></CONTENU></ARTICLE></SECTION_TA></CODE>"
     p = parsers.parse("x.xml", legal.encode()).passages[0]
-    assert (p.content, p.chapter_title) == ("Texte.", "Livre I") and p.metadata == {"etat": "VIGUEUR", "article_ref": "CGI-39-BIS", "num": "39 bis", "date_debut": "2020-01-01"}
+    assert (p.content, p.chapter_title) == ("Texte.", "Livre I") and p.metadata == {"etat": "VIGUEUR", "article_ref": "CGI-39-bis", "num": "39 bis", "date_debut": "2020-01-01"}
     h = parsers.parse("x.html", b"<title>BOI-IS-10</title><nav>menu</nav><h1>H</h1><p>Selon l'article L. 12-3 bis du code, une phrase.</p><a href='y.html#z'>l</a>")
     assert h.passages[0].metadata == {"articles": "L. 12-3 bis", "boi": "BOI-IS-10", "boi_series": "IS"} and [x.target for x in h.references] == ["y.html"]
     assert texts("x.fb2", b"<FictionBook><body><section><title><p>T</p></title><p>Some text here.</p><section><p>Inner text here.</p></section></section></body></FictionBook>") == ["Some text here.", "Inner text here."]
@@ -170,3 +171,66 @@ def test_streams_as_batches(spark, tmp_path):
     assert sorted(out) == [(t(0), 3), (t(20), 2)]
     later = streams.settled(spark.createDataFrame([("x", t(0)), ("y", t(9))], "path string, modificationTime timestamp"), F.lit(t(10)))
     assert [r.path for r in later.collect()] == ["x"]
+
+
+def test_many_midi_tracks_and_long_lyrics():
+    event = lambda kind, body: b"\0\xff" + bytes([kind, len(body)]) + body
+    track = lambda body: b"MTrk" + struct.pack(">I", len(body) + 4) + body + b"\0\xff\x2f\0"
+    song = b"MThd" + struct.pack(">IHHH", 6, 1, 5000, 480) + b"".join(track(event(3, b"part %d" % i)) for i in range(5000))
+    assert len(parsers.parse("x.mid", song).passages) == 5001
+    words = "la mer " * 20_000
+    said = [f"LYRICS={words}".encode()]
+    comments = struct.pack("<I", 0) + struct.pack("<I", 1) + struct.pack("<I", len(said[0])) + said[0]
+    flac = b"fLaC" + b"\x01" + (2 << 20).to_bytes(3, "big") + b"\0" * (2 << 20) + b"\x84" + len(comments).to_bytes(3, "big") + comments
+    assert parsers.parse("x.flac", flac).passages[-1].content == words.strip()
+    head = b"\x01vorbis" + struct.pack("<IBI", 0, 2, 44100) + b"\0" * 14
+    packets = [head, b"\x03vorbis" + comments]
+    ogg = b""
+    for body in packets:
+        sizes = [255] * (len(body) // 255) + [len(body) % 255]
+        for k in range(0, len(sizes), 255):
+            part = sizes[k : k + 255]
+            ogg += b"OggS" + b"\0" * 22 + bytes([len(part)]) + bytes(part) + body[k * 255 : k * 255 + sum(part)]
+    got = parsers.parse("x.ogg", ogg).passages
+    assert got[-1].content == words.strip() and "44.1 kHz, 2 channels" in got[0].content
+
+
+def test_damaged_page_files():
+    from quire.plans.parser_queries import files as fixed
+
+    for name in ("pdf", "mobi", "djvu"):
+        path, content = fixed()[name]
+        for cut in (0, 10, 70, len(content) // 2, len(content) - 30):
+            try:
+                parsers.parse(path, content[:cut])
+            except parsers.Unreadable:
+                pass
+    with pytest.raises(parsers.Unreadable):
+        parsers.parse("x.pdf", fixed()["pdf"][1].replace(b"/Root 1 0 R", b"/Encrypt 1 0 R"))
+
+
+def test_registered_parsers(monkeypatch):
+    monkeypatch.setattr(parsers, "REGISTERED", [])
+    monkeypatch.setattr(parsers, "BY_ENDING", dict(parsers.BY_ENDING))
+    one, two = (lambda path, content, n=n: parsers.Parsed([parsers.Passage(n)]) for n in ("one", "two"))
+    parsers.register(one, (".md", ".zz"))
+    parsers.register(two, (".zz",))
+    assert texts("a.md", b"x") == ["one"] and texts("a.zz", b"x") == ["two"]
+    parsers.register(two, matches=lambda path, content: content.startswith(b"!"))
+    assert texts("a.md", b"!x") == ["two"] and texts("a.md", b"x") == ["one"]
+
+
+def test_exclusions_payloads_and_memories(spark):
+    df = spark.createDataFrame([(p,) for p in ("a/.claude/worktrees/x.py", ".claude/x.md", "b/.ruff_cache/x", "b/db/x.md", "b/x.db-wal", "b/x.py")], "path string")
+    assert {r.path for r in df.filter(~files.excluded(F.col("path"))).collect()} == {".claude/x.md", "b/x.py"}
+    assert files.scan_payloads([{"path": "a", "corpus": "x", "recursive": True, "include": []}, {"corpus": "x", "path": "a"}, {"path": "b", "honor_ignore": False, "endings": [".py", ".md"]}]) == [{"corpus": "x", "path": "a"}, {"endings": [".md", ".py"], "honor_ignore": False, "path": "b"}]
+    listed = spark.createDataFrame([("p", "/m/p", "/real/p"), ("q", "/m/q", "/real/p"), ("r", "/m/r", "/real/r")], "project string, path string, real_path string")
+    assert {tuple(r) for r in files.memory_sources(listed).collect()} == {("memory-p", "/m/p"), ("memory-r", "/m/r")}
+    assert not files.history_is_wanted("a/x.mbox", "x\n[versions]\n*.mbox\n") and files.history_is_wanted("x", "x\n[versions]\n*.mbox\n")
+
+
+def test_deep_folders_decide_wikilinks(spark):
+    deep = "/".join(f"d{i}" for i in range(40))
+    books = spark.createDataFrame([("c", f"{deep}/note.md", "near"), ("c", "d0/note.md", "far"), ("c", "x/y/other.md", "o")], "corpus string, filename string, slug string")
+    cand = spark.createDataFrame([("s", f"{deep}/src.md", "c", "wikilink", "note"), ("t", "z.md", "c", "wikilink", "y/Other"), ("u", "z.md", "c", "wikilink", "z/Other")], "src_slug string, src_path string, corpus string, relation_type string, target_ref string")
+    assert {(r.src_slug, r.dst_slug) for r in graph.resolve_links(cand, books).collect()} == {("s", "near"), ("t", "o")}

@@ -8,12 +8,13 @@ import pytest
 
 import quire.plans.data_queries as data
 import quire.plans.library_queries as library
+import quire.plans.parser_queries as parsers
 import quire.plans.reference_queries as reference
 
 from .conftest import DATA
 
-QUERIES = {**data.QUERIES, **reference.QUERIES, **library.QUERIES}
-SQL = {**data.SQL, **reference.SQL, **library.SQL}
+QUERIES = {**data.QUERIES, **reference.QUERIES, **library.QUERIES, **parsers.QUERIES}
+SQL = {**data.SQL, **reference.SQL, **library.SQL, **parsers.SQL}
 
 
 @pytest.fixture(scope="module")
