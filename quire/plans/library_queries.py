@@ -203,7 +203,7 @@ def withheld_results(spark: SparkSession, d: str) -> DataFrame:
 # ---- checks
 
 
-@query(f"WITH {_FAILED}, g AS (SELECT corpus, filepath, max(failed_at) AS failed_at FROM x GROUP BY ALL) SELECT count(*) AS files, arg_max(filepath, (failed_at, filepath)) AS example, left('no text in ' || arg_max(filepath, (failed_at, filepath)), 70) AS reason FROM g")
+@query(f"WITH {_FAILED}, g AS (SELECT corpus, filepath, max(failed_at) AS failed_at FROM x GROUP BY ALL) SELECT count(*) AS files, arg_max(filepath, (failed_at, filepath)) AS example, left('no text in ' || arg_max(filepath, (failed_at, filepath)), 70) AS reason FROM g HAVING count(*) > 0")
 def silent_drops(spark: SparkSession, d: str) -> DataFrame:
     return audit.silent_drops(_failure_state(spark, d))
 
