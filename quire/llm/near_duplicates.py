@@ -254,7 +254,7 @@ def _sets(o: Settings, bitmap):
             b = b[(bits[h // np.uint64(64)] >> (h % np.uint64(64))) & np.uint64(1) == 1]
             s, lengths = shingles(b["text"].tolist(), o.run, o.least_words)
             at = np.concatenate([[0], np.cumsum(lengths)])
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "runs": [np.unique(s[at[i] : at[i + 1]]).view(np.int64) for i in range(len(b))]})
+            yield pd.DataFrame({"id": b["id"].to_numpy(), "runs": pd.Series([np.unique(s[at[i] : at[i + 1]]).view(np.int64) for i in range(len(b))], dtype=object)})
 
     return run
 

@@ -86,6 +86,14 @@ def test_pairs_of_nothing(spark):
     assert near_duplicates.expanded(pairs, members).count() == 0 and near_duplicates.groups(pairs, members).count() == 0
 
 
+def test_few_pairs_over_many_partitions(spark):
+    data = [(i, t) for i, t in corpus(9, 3)[:1]] + [(50 + i, " ".join(random.Random(i).choice(WORDS) for _ in range(40))) for i in range(30)]
+    df = spark.createDataFrame([*data, (99, data[0][1] + " w1")], "id bigint, text string").repartition(16)
+    pairs, members = near_duplicates.similar_pairs(df, near_duplicates.Settings(run=3, similarity=0.6, least_words=5, bands=40, rows=4))
+    want = brute([*data, (99, data[0][1] + " w1")], near_duplicates.Settings(run=3, similarity=0.6, least_words=5))
+    assert {tuple(r) for r in near_duplicates.expanded(pairs, members).collect()} == want
+
+
 # ---- tokens, packing, mixing
 
 
