@@ -87,8 +87,8 @@ def snapshot_changes(before: DataFrame, now: DataFrame, entity: str, attributes:
     return new.unionByName(gone)
 
 
-#: Days at which article_history cuts its changes into batches; which days decides nothing.
-CUTS = ("2000-01-01", "2015-01-01")
+#: Days at which article_history cuts its changes into batches; which days, decides nothing.
+CUTS = ("2015-01-01",)
 
 
 def article_history(notices: DataFrame, open_year: int = 2900, cuts: tuple[str, ...] = CUTS) -> DataFrame:
