@@ -32,8 +32,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def one_record(df: DataFrame, key: str, *columns: str, at: str = "loaded_at") -> DataFrame:
-    """(key, columns...), one row for each key, from its row with the earliest `at` (rows with a null key are dropped; a null `at` counts as last, and ties
+    """(key, columns...), one row for each key, from its row with the earliest `at` (rows with a null key are dropped; a null `at`, or a table without it, counts as last, and ties
     are settled by the columns' own order, so that a repeated run gives the same rows)."""
-    row = F.struct(F.col(at).isNull().alias("_late"), F.col(at).alias("_at"), *[F.col(n) for n in columns])
+    time = F.col(at) if at in df.columns else F.lit(None).cast("timestamp")
+    row = F.struct(time.isNull().alias("_late"), time.alias("_at"), *[F.col(n) for n in columns])
     best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("_r"))
     return best.select(key, *[F.col(f"_r.{n}").alias(n) for n in columns])
